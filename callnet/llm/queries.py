@@ -1,9 +1,10 @@
 """Queries of this subpackage and their SQL."""
 
-from callnet.llm import line_dedup
+from callnet.llm import line_dedup, packing
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
+    "op4_best_fit_packing": packing.query,
 }
 
 ORACLE_SQL = {
