@@ -4,8 +4,8 @@ Texts become token ids (`tokens.BatchTokenizer`) and an end id; a document longe
 the driver sees is the histogram of piece lengths, which has one number per length whatever the corpus. Lengths are grouped to
 `UNITS` sizes. `configurations` solves the covering program "fewest sequences so that each size is covered" by
 multiplicative weights: the price of a size is its share of the capacity times a weight that shrinks as the size gets covered;
-a knapsack by dynamic programming finds the configuration of greatest price; it is used for half of what its scarcest size
-still asks, a whole number, so the solution is rounded as it is built and never covers too much. What remains when few pieces are
+a knapsack by dynamic programming finds the configuration of greatest price; it is used, a whole number of
+times, for all that its scarcest size still asks, so the solution is rounded as it is built and never covers too much. What remains when few pieces are
 left (`REST`) goes by best fit decreasing on exact lengths.
 
 The assignment runs distributed: pieces are ranked within their length (in salted parts, so one length may hold any share of the
@@ -32,9 +32,9 @@ from callnet.llm.common import materialize, read_table, salt
 CAPACITY = 4096
 END_ID = 1
 #: Sizes that the program tells apart, and pieces left to best fit decreasing at most.
-UNITS, REST = 512, 20_000
+UNITS, REST = 1024, 20_000
 #: How strongly a size's weight falls as it gets covered.
-ETA = 4.0
+ETA = 1.0
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -90,7 +90,8 @@ def _dearest(sizes: np.ndarray, prices: np.ndarray, units: int) -> list[int]:
 def configurations(demand: np.ndarray, rest: int = REST, eta: float = ETA) -> tuple[list[tuple[dict[int, int], int]], np.ndarray]:
     """([(configuration {size: copies}, how often)], demand left); demand[s] pieces have size s, the last index is the capacity.
 
-    At most `rest` pieces are left. Each step halves a size's demand at least, so steps grow with the logarithm of the corpus.
+    At most `rest` pieces are left. Each step meets the whole demand of a size, so there are as many steps as sizes at most,
+    whatever the corpus. (A size whose demand is smaller than the copies chosen lowers the copies.)
     """
     units = len(demand) - 1
     left = demand.astype(np.int64).copy()
@@ -108,7 +109,7 @@ def configurations(demand: np.ndarray, rest: int = REST, eta: float = ETA) -> tu
             s = int(sizes[j])
             if config.get(s, 0) < left[s]:
                 config[s] = config.get(s, 0) + 1
-        times = max(1, min(int(left[s]) // n for s, n in config.items()) // 2)
+        times = max(1, min(int(left[s]) // n for s, n in config.items()))
         out.append((config, times))
         for s, n in config.items():
             left[s] -= n * times
