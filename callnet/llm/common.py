@@ -2,65 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Parts that a hot key is dealt into. A power of two, 32 at most (a bit mask records the parts in use).
-SALTS = 32
-
-_own_dir: str | None = None
-_written: list[tuple[object, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one of our own only where that is unset (tests)."""
-    global _own_dir
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    if _own_dir is None:
-        _own_dir = "file://" + tempfile.mkdtemp(prefix="textops-")
-    return _own_dir
-
-
-def _drop_written() -> None:
-    for fs, path in _written:
-        try:
-            fs[0].delete(fs[1], True)
-        except Exception:  # the session has ended already
-            pass
+from callnet.storage import materialize, scratch_path, shared_dir
 
+__all__ = ["SALTS", "ascii_lower", "fresh", "materialize", "read_table", "salt", "salt_mask", "salts_of", "scratch_path", "shared_dir"]
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, deleted when the driver's Python ends."""
-    path = f"{shared_dir(spark)}/textops/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not _written:
-        atexit.register(_drop_written)
-    _written.append(((fs, hadoop), path))
-    return path
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` once to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(spark: SparkSession, df: DataFrame) -> None:
-    """Delete a materialized table that nothing reads any more."""
-    for file in df.inputFiles()[:1]:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
+#: Parts that a hot key is dealt into. A power of two, 32 at most (a bit mask records the parts in use).
+SALTS = 32
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -1,10 +1,11 @@
 """Queries of this subpackage and their SQL."""
 
-from callnet.llm import line_dedup, packing
+from callnet.llm import line_dedup, near_dup, packing
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
     "op4_best_fit_packing": packing.query,
+    "op5_hyperminhash_near_dup": near_dup.query,
 }
 
 ORACLE_SQL = {
