@@ -1,11 +1,12 @@
 """Queries of this subpackage and their SQL."""
 
-from callnet.llm import line_dedup, near_dup, packing
+from callnet.llm import imatch, line_dedup, near_dup, packing
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
     "op4_best_fit_packing": packing.query,
     "op5_hyperminhash_near_dup": near_dup.query,
+    "op9_imatch_fingerprints": imatch.query,
 }
 
 ORACLE_SQL = {
