@@ -1,14 +1,16 @@
 """Queries of this subpackage and their SQL."""
 
-from callnet.llm import imatch, line_dedup, near_dup, packing
+from callnet.llm import imatch, line_dedup, near_dup, packing, secret_scan
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
     "op4_best_fit_packing": packing.query,
     "op5_hyperminhash_near_dup": near_dup.query,
     "op9_imatch_fingerprints": imatch.query,
+    "op10_trigram_secret_scan": secret_scan.query,
 }
 
 ORACLE_SQL = {
     "op1_line_dedup": line_dedup.ORACLE,
+    "op10_trigram_secret_scan": secret_scan.ORACLE,
 }
