@@ -1,11 +1,12 @@
 """Queries of this subpackage and their SQL."""
 
-from callnet.llm import imatch, line_dedup, near_dup, packing, secret_scan, toxicity
+from callnet.llm import imatch, line_dedup, near_dup, packing, secret_scan, toxicity, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
     "op4_best_fit_packing": packing.query,
     "op5_hyperminhash_near_dup": near_dup.query,
+    "op6_warc_bundles": warc.query,
     "op7_toxicity_cnn": toxicity.query,
     "op9_imatch_fingerprints": imatch.query,
     "op10_trigram_secret_scan": secret_scan.query,
