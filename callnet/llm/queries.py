@@ -1,9 +1,10 @@
 """Queries of this subpackage and their SQL."""
 
-from callnet.llm import decontaminate, imatch, line_dedup, near_dup, packing, secret_scan, toxicity, warc
+from callnet.llm import chunk_dedup, decontaminate, imatch, line_dedup, near_dup, packing, secret_scan, toxicity, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
+    "op2_gear_chunk_dedup": chunk_dedup.query,
     "op3_string_tiling_decontamination": decontaminate.query,
     "op4_best_fit_packing": packing.query,
     "op5_hyperminhash_near_dup": near_dup.query,
