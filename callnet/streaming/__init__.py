@@ -1,0 +1 @@
+"""No streaming operators: the data model has no time column and every scan is a batch."""
