@@ -7,14 +7,16 @@ that links lead to.
 
 1. `signatures`: one hash per shingle fills `REGISTERS` buckets; each keeps the leading-zero count and 10 mantissa bits of its
    least value in 16 bits (HyperMinHash). Equal sets share a 128-bit digest and count once from here on.
-2. Bands of 4 registers (empty ones filled from others by fixed random probes, for banding only) give candidate buckets. At 80 %
-   a pair misses all 32 bands with probability 5e-8.
-3. Rounds over the buckets: a center is compared with the members that are not yet in its component. The first center is the
-   member with most bucket mates; later ones are all members outside the bucket's largest component, 8 times as many
-   each round, until a bucket is one component or every cross pair has been compared. So a bucket of n copies costs about n
-   comparisons, none of its possible pairs is given up, and no pair inside a component is made.
-4. A pair goes on if its collision-corrected estimate lies within 5 standard deviations of the threshold, and is confirmed on
-   the full sets of 64-bit shingle hashes.
+2. Bands of registers give candidate buckets (empty registers are filled from others by fixed random probes, for banding
+   only). Long bands first (16, then 8 registers): each member is compared with the least and the greatest id of its bucket. That
+   joins most of what belongs together, families that drift from copy to copy too, for two comparisons a row.
+3. Then bands of 4 registers, of which a pair at 80 % misses all 32 with probability 5e-8. A bucket that is one component needs
+   nothing more. In the others the members outside the bucket's largest component are compared with all members of other
+   components, 8 times as many of them each round, until every cross pair has been compared: nothing is capped or given up. The
+   comparison is of registers, in blocks of centers next to the member; only pairs whose collision-corrected estimate lies within 4 standard
+   errors of the threshold become rows, each once (in the first band they share).
+4. Likely pairs are confirmed on the full sets of 64-bit shingle hashes: first the best one of each pair of components, then all
+   others that still lie in different components.
 
 Defined results: rows with the same doc_id count as one document, so their texts' links are joined. A row with a null doc_id is
 linked with nothing and kept. Extra columns are ignored here and passed through by `drop_near_duplicates`. Repeated rows
@@ -34,7 +36,11 @@ from pyspark.sql import functions as F
 from callnet.llm.common import fresh, materialize, read_table, salt, salt_mask, salts_of
 from callnet.operators.graph.components import component_labels
 
-REGISTERS, ROWS = 128, 4
+REGISTERS = 256
+#: Registers that bands use, and the band lengths of the rounds.
+BANDED, LONG, SHORT = 128, (16, 8), 4
+#: Centers that travel with a row.
+CENTERS = 16
 _HASH_BITS, _MANTISSA = 57, 10
 
 
@@ -62,29 +68,36 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
 
 def _probes() -> np.ndarray:
     rng = np.random.default_rng(20240501)
-    return np.stack([rng.permutation(REGISTERS) for _ in range(REGISTERS)])
+    return np.stack([rng.permutation(BANDED) for _ in range(BANDED)])
 
 
 _PROBES = _probes()
 
 
-def band_keys(regs: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each row and band; no row may be all empty."""
+def band_keys(regs: np.ndarray, rows: int = SHORT) -> np.ndarray:
+    """A 64-bit key for each row of registers and each band of `rows` (4, 8 or 16) registers."""
     from callnet.llm.wordhash import mix
 
-    full = regs.copy()
-    short = np.flatnonzero((regs == 0).any(axis=1))
+    source = regs[:, :BANDED]
+    # a set so small that it misses all banded registers is banded by the others
+    bare = ~source.any(axis=1)
+    if bare.any():
+        source = np.where(bare[:, None], regs[:, -BANDED:], source)
+    full = source.copy()
+    short = np.flatnonzero((source == 0).any(axis=1))
     if len(short):
-        part, source = full[short], regs[short]
+        part, own = full[short], source[short]
         for probe in _PROBES.T:
             empty = part == 0
             if not empty.any():
                 break
-            part = np.where(empty, source[:, probe], part)
+            part = np.where(empty, own[:, probe], part)
         full[short] = part
-    bands = REGISTERS // ROWS
-    packed = np.ascontiguousarray(full).view("<u8").reshape(len(regs), bands)
-    return mix(packed + np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    words = np.ascontiguousarray(full).view("<u8").reshape(len(regs), BANDED // rows, rows // 4)
+    key = np.arange(1, BANDED // rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(rows)
+    for j in range(rows // 4):
+        key = mix(words[:, :, j] ^ key)
+    return key
 
 
 def collision_rate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -126,64 +139,111 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype="<u2").reshape(-1, REGISTERS)
 
 
-def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            keys = band_keys(_matrix(batch.column(2)))
-            bands = keys.shape[1]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), bands)), pa.array(np.repeat(batch.column(1).to_numpy(), bands))], names=["key", "id", "n"]
-            )
+def _buckets(nodes: DataFrame, rows: int) -> DataFrame:
+    """(key, band, id, n, regs, lo, hi, part) of all band buckets that hold several ids; lo, hi: the bucket's least and greatest id."""
 
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                keys = band_keys(_matrix(batch.column(1)), rows)
+                bands = keys.shape[1]
+                columns = [pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.tile(np.arange(bands, dtype=np.int32), batch.num_rows)), pa.array(np.repeat(batch.column(0).to_numpy(), bands))]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "band", "id"])
 
-def _buckets(nodes: DataFrame) -> DataFrame:
-    """(key, id, n, size, part) of all band buckets that hold several ids."""
-    rows = nodes.select("id", "n", "regs").mapInArrow(_band_rows, "key long, id long, n long")
-    rows = rows.withColumn("part", salt(F.col("id")))
-    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("lo"), F.max("id").alias("hi"), salt_mask(F.col("part")).alias("parts"))
-    counts = counts.where("lo < hi").select("key", "size", F.explode(salts_of(F.col("parts"))).alias("part"))
-    return rows.join(counts, ["key", "part"])
+    keyed = nodes.select("id", "regs").mapInArrow(spread, "key long, band int, id long").withColumn("part", salt(F.col("id")))
+    counts = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), salt_mask(F.col("part")).alias("parts")).where("lo < hi")
+    return keyed.join(counts.select("key", "lo", "hi", F.explode(salts_of(F.col("parts"))).alias("part")), ["key", "part"])
 
 
-def _pending(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Bucket rows with their component label, of buckets that aren't one component yet; `main`: the row's label is the bucket's most frequent."""
-    rows = buckets.join(labels, "id")
-    per = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"), salt_mask(F.col("part")).alias("m"))
-    top = per.groupBy("key").agg(F.count(F.lit(1)).alias("n_labels"), F.max(F.struct("c", "label")).alias("top"), F.bit_or("m").alias("parts"))
-    top = top.where("n_labels > 1").select("key", F.col("top.label").alias("main"), F.explode(salts_of(F.col("parts"))).alias("part"))
-    return rows.join(top, ["key", "part"])
+def _star_pairs(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b: members with the least and the greatest id of their bucket, where components differ."""
+    both = buckets.select("id", F.explode(F.array("lo", "hi")).alias("c")).where("id <> c").select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
+    return _apart(both, labels)
 
 
-def _ranked(rows: DataFrame, most: int) -> DataFrame:
-    """The first `most` rows of each bucket by (score, id), in two steps so that no task sorts a whole bucket; rank counts from 1."""
-    own = Window.partitionBy("key", "part").orderBy(F.desc("score"), "id")
-    best = rows.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= most)
-    return best.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= most)
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs whose ends are in different components, with the components la <= lb."""
+    l, r = (labels.select(F.col("id").alias(x), F.col("label").alias(f"l_{x}")) for x in "ab")
+    return pairs.join(l, "a").join(r, "b").where("l_a <> l_b").withColumns({"la": F.least("l_a", "l_b"), "lb": F.greatest("l_a", "l_b")}).drop("l_a", "l_b")
 
 
-def _candidate_pairs(pending: DataFrame, centers: DataFrame, similarity: int) -> DataFrame:
-    """Distinct (a, b), a < b, of a center and a member of another component whose sizes allow the similarity."""
-    sides = pending.select("key", "part", "id", "label", "n")
-    c = centers.select("key", F.col("id").alias("c_id"), F.col("label").alias("c_label"), F.col("n").alias("c_n"))
-    parts = pending.select("key", "part").distinct()
-    c = parts.join(c, "key")
-    joined = sides.join(c, ["key", "part"]).where("label <> c_label").where(100 * F.least("n", "c_n") >= similarity * F.greatest("n", "c_n"))
-    return joined.select(F.least("id", "c_id").alias("a"), F.greatest("id", "c_id").alias("b")).distinct()
+def _floor(similarity: int, used: np.ndarray) -> np.ndarray:
+    """The least estimate that a pair at the threshold may have."""
+    t = similarity / 100
+    return t - 4 * np.sqrt(t * (1 - t) / np.maximum(used, 1))
 
 
 def _estimated(pairs: DataFrame, nodes: DataFrame, similarity: int) -> DataFrame:
+    """(a, b, estimate) of the pairs that may reach the similarity."""
     side = nodes.select("id", "n", "regs")
     a, b = (side.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"r_{x}")) for x in "ab")
-    t = similarity / 100
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 got, used = estimates(_matrix(batch.column(4)), _matrix(batch.column(5)), batch.column(2).to_numpy(), batch.column(3).to_numpy())
-                ok = got >= t - 5 * np.sqrt(t * (1 - t) / np.maximum(used, 1))
-                yield batch.select([0, 1]).filter(pa.array(ok))
+                out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got)], names=["a", "b", "estimate"])
+                yield out.filter(pa.array(got >= _floor(similarity, used)))
+
+    sized = pairs.join(a, "a").join(b, "b").where(100 * F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b"))
+    return sized.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(keep, "a long, b long, estimate double").distinct()
+
+
+def _pending(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of the buckets that aren't one component, with their label and `main`, the label that most of the bucket's rows have."""
+    rows = buckets.select("key", "part", "band", "id").join(labels, "id")
+    per = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"), salt_mask(F.col("part")).alias("m"))
+    top = per.groupBy("key").agg(F.count(F.lit(1)).alias("n_labels"), F.max(F.struct("c", "label")).alias("top"), F.bit_or("m").alias("parts"))
+    top = top.where("n_labels > 1").select("key", F.col("top.label").alias("main"), F.explode(salts_of(F.col("parts"))).alias("part"))
+    return rows.join(top, ["key", "part"])
+
+
+def _ranked(rows: DataFrame, most: int) -> DataFrame:
+    """The first `most` rows of each bucket by id, in two steps so that no task sorts a whole bucket; rank counts from 1."""
+    best = rows.withColumn("rank", F.row_number().over(Window.partitionBy("key", "part").orderBy("id"))).where(F.col("rank") <= most)
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("id"))).where(F.col("rank") <= most)
+
 
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(keep, "a long, b long")
+def _likely_in_buckets(pending: DataFrame, nodes: DataFrame, most: int, similarity: int) -> DataFrame:
+    """(a, b, estimate) of pairs of a center (one of the first `most` outside its bucket's main component) and a member of another component."""
+    side = nodes.select("id", "n", "regs")
+    centers = _ranked(pending.where("label <> main").select("key", "part", "id", "label"), most)
+    centers = centers.join(side, "id").groupBy("key", ((F.col("rank") - 1) / CENTERS).cast("int").alias("block")).agg(F.collect_list(F.struct("id", "label", "n", "regs")).alias("centers"))
+    members = pending.select("key", "part", "band", "id", "label").join(side, "id")
+    # a block of centers goes to the parts that its bucket has
+    parts = pending.groupBy("key").agg(salt_mask(F.col("part")).alias("parts"))
+    dealt = centers.join(parts, "key").select("key", "centers", F.explode(salts_of(F.col("parts"))).alias("part"))
+    rows = members.join(dealt, ["key", "part"]).select("band", "id", "label", "n", "regs", "centers")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                band, own, label, n = (batch.column(i).to_numpy() for i in range(4))
+                regs = _matrix(batch.column(4))
+                lists = batch.column(5)
+                flat = lists.flatten()
+                size = np.diff(lists.offsets.to_numpy())
+                row = np.repeat(np.arange(batch.num_rows), size)
+                c_id, c_label, c_n = (flat.field(i).to_numpy() for i in range(3))
+                big, small = np.maximum(n[row], c_n), np.minimum(n[row], c_n)
+                ok = np.flatnonzero((label[row] != c_label) & (100 * small >= similarity * big))
+                if not len(ok):
+                    continue
+                c_regs = _matrix(flat.field(3).take(pa.array(ok)))
+                row, c_id, c_n = row[ok], c_id[ok], c_n[ok]
+                got, used = estimates(regs[row], c_regs, n[row], c_n)
+                good = got >= _floor(similarity, used)
+                if not good.any():
+                    continue
+                row, c_id, got, c_regs = row[good], c_id[good], got[good], c_regs[good]
+                # a pair is made in the first band that it shares
+                shared = band_keys(regs[row]) == band_keys(c_regs)
+                first = shared.argmax(axis=1) == band[row]
+                a, b = np.minimum(own[row], c_id)[first], np.maximum(own[row], c_id)[first]
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(got[first])], names=["a", "b", "estimate"])
+
+    return rows.mapInArrow(compare, "a long, b long, estimate double").distinct()
 
 
 def _full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -228,65 +288,85 @@ def _free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+class _Linker:
+    """Links found so far and the components that they make of `ids`."""
+
+    def __init__(self, docs: DataFrame, nodes: DataFrame, k: int, similarity: int):
+        self.docs, self.nodes, self.k, self.similarity = docs, nodes, k, similarity
+        self.spark = docs.sparkSession
+        self.links = self.tested = self.spark.createDataFrame([], "a long, b long")
+        self.labels = nodes.select("id", F.col("id").alias("label")).distinct()
+        self._sets = None
+
+    def _members(self, ids: DataFrame) -> DataFrame:
+        """Full sets; read once for all ids that any bucket holds."""
+        if self._sets is None:
+            self._sets = materialize(_full_sets(self.docs, ids, self.k), "sets")
+            _free_shuffles(self.spark)
+        return self._sets
+
+    def verify(self, pairs: DataFrame, ids: DataFrame) -> None:
+        self.tested = materialize(self.tested.union(pairs.select("a", "b")), "tested")
+        new = materialize(_verified(pairs.select("a", "b"), self._members(ids), self.similarity).distinct(), "links")
+        self.links = materialize(self.links.union(new), "links")
+        found = component_labels(self.links)
+        self.labels = materialize(self.nodes.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("label", "id").alias("label")), "labels")
+        _free_shuffles(self.spark)
+
+    def confirm(self, likely: DataFrame, ids: DataFrame) -> None:
+        """Link what of `likely` (a, b, estimate) reaches the similarity and matters to the components."""
+        likely = likely.join(self.tested, ["a", "b"], "left_anti")
+        first = _apart(likely, self.labels).groupBy("la", "lb").agg(F.max(F.struct("estimate", "a", "b")).alias("best")).select("best.a", "best.b")
+        first = materialize(first, "best")
+        if not first.limit(1).count():
+            return
+        self.verify(first, ids)
+        rest = materialize(_apart(likely, self.labels).select("a", "b").join(first, ["a", "b"], "left_anti"), "rest")
+        if rest.limit(1).count():
+            self.verify(rest, ids)
+
+
+def _link(docs: DataFrame, nodes: DataFrame, k: int, similarity: int) -> DataFrame:
+    """All links that matter to the components, as pairs of ids."""
+    linker = _Linker(docs, nodes, k, similarity)
+    short = materialize(_buckets(nodes, SHORT), "buckets")
+    ids = short.select("id").distinct()
+    for rows in LONG:
+        stars = _star_pairs(_buckets(nodes.join(ids, "id", "left_semi"), rows), linker.labels)
+        linker.confirm(materialize(_estimated(stars.select("a", "b"), nodes, similarity), "likely"), ids)
+    most = 8
+    while True:
+        pending = materialize(_pending(short, linker.labels), "pending")
+        longest = pending.where("label <> main").groupBy("key").count().agg(F.max("count")).first()[0]
+        if longest is None:
+            return linker.links
+        linker.confirm(materialize(_likely_in_buckets(pending, nodes, most, similarity), "likely"), ids)
+        if longest <= most:  # every member outside was a center: all cross pairs have been compared
+            return linker.links
+        most *= 8
+
+
 def near_duplicate_groups(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs."""
     spark = docs.sparkSession
     signed = materialize(signatures(docs, k), "signatures")
     # One node per set; sets of one doc_id are one node with several rows.
-    nodes = materialize(signed.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs")), "nodes")
-    buckets = _buckets(nodes)
-    buckets = materialize(buckets, "buckets")
-    score = buckets.groupBy("id").agg(F.sum("size").alias("score"))
-    buckets = materialize(buckets.join(score, "id").select("key", "part", "id", "n", "score"), "scored")
-    ids = buckets.select("id").distinct()
-    links = _rounds(docs, nodes, buckets, ids, k, similarity)
-    _free_shuffles(spark)
-    # ids that equal sets share: every doc_id of a set leads to the set's least doc_id
-    same = signed.where("node IS NOT NULL AND doc_id IS NOT NULL").join(nodes.select("node", "id"), "node").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    several = signed.where("node IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    if several.limit(1).count():  # a doc_id with several texts can tie sets together: its rows are links too
+    present = signed.where("node IS NOT NULL AND doc_id IS NOT NULL")
+    nodes = materialize(present.groupBy("node").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs")), "nodes")
+    links = _link(docs, nodes, k, similarity)
+    # a doc_id with several texts can tie sets together: then what equal sets share are links too
+    several = present.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    if several.limit(1).count():
+        same = present.join(nodes.select("node", "id"), "node").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
         links = links.union(same)
-    found = component_labels(links) if links is not None else None
+    found = component_labels(links)
     out = signed.select("doc_id", "n_shingles", "node").join(nodes.select("node", "id"), "node", "left")
     out = out.join(found.select("id", "label"), "id", "left")
     least = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("label", "id", "doc_id"))
+    _free_shuffles(spark)
     return out.select("doc_id", "n_shingles", least.cast("long").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _rounds(docs: DataFrame, nodes: DataFrame, buckets: DataFrame, ids: DataFrame, k: int, similarity: int) -> DataFrame:
-    """All links found, as pairs of ids."""
-    spark = docs.sparkSession
-    sets = None
-    labels = ids.select("id", F.col("id").alias("label"))
-    links = tested = spark.createDataFrame([], "a long, b long")
-    round_, done = 0, 0
-    while True:
-        pending = materialize(_pending(buckets, labels), "pending")
-        if round_ == 0:
-            most, centers = 1, _ranked(pending, 1)
-        else:
-            outside = pending.where("label <> main")
-            longest = outside.groupBy("key").count().agg(F.max("count")).first()[0]
-            if longest is None or done >= longest:
-                return links
-            most = 8**round_
-            centers = _ranked(outside, most)
-            done = most
-        pairs = _candidate_pairs(pending, centers, similarity).join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        likely = materialize(_estimated(pairs, nodes, similarity).distinct(), "likely")
-        tested = materialize(tested.union(pairs), "tested")
-        if likely.limit(1).count():
-            if sets is None:
-                sets = materialize(_full_sets(docs, ids, k), "sets")
-                _free_shuffles(spark)
-            new = materialize(_verified(likely, sets, similarity).distinct(), "links")
-            links = materialize(links.union(new), "links")
-            found = component_labels(links)
-            labels = materialize(ids.join(found, "id", "left").select("id", F.coalesce("label", "id").alias("label")), "labels")
-        round_ += 1
-
-
 def drop_near_duplicates(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFrame:
     """The rows of docs whose doc_id is the least of its group, with all their columns."""
     name = fresh(docs, "near_dup_id")
