@@ -7,13 +7,14 @@ import struct
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from callnet.functions.scalars import DISTANCE_BANDS, band, safe_ratio
 
 QUINTILES = ["q1", "q2", "q3", "q4", "q5"]
 
 
-@F.pandas_udf("struct<x:double,y:double>")
+@F.pandas_udf(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
 def wkb_point(hexed: pd.Series) -> pd.DataFrame:
     """D2. Coordinates of a hexadecimal WKB point (with or without an SRID); null for anything else."""
 
