@@ -4,7 +4,7 @@ Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased. Of
 winnowed: of every `WINDOW` neighbouring hashes the least is kept (Schleimer et al. 2003), so any run of K + WINDOW - 1 words that a
 text shares with a template holds a kept one. The index maps a kept hash to (template, position); it depends on the templates
 only and is broadcast. The hashes of all runs of K words of each whole text are looked up. Hits of a template on
-neighbouring diagonals make a candidate region; within `BAND` words of its diagonal a longest common
+neighbouring diagonals make a candidate region; within `BAND` words of its diagonal (a quarter of a short template) a longest common
 subsequence aligns template and text. A region counts if the aligned words cover `COVERAGE` of the template; of regions that
 overlap in the text the one with more aligned words stays.
 
@@ -108,6 +108,11 @@ class Index:
             self.tables[k] = tuple(np.array([r[i] for r in rows], dtype=np.uint64 if i == 0 else np.int64) for i in range(3))
 
 
+def band_of(size: int, band: int = BAND) -> int:
+    """Short templates get a narrow band, so that neighbouring copies of a line stay apart."""
+    return min(band, max(2, size // 4))
+
+
 def align(template: np.ndarray, text: np.ndarray, start: int, band: int = BAND) -> tuple[int, int, int]:
     """(aligned words, first, last) of the longest common subsequence of the template and the text near the diagonal that begins at word `start`.
 
@@ -134,10 +139,9 @@ def align(template: np.ndarray, text: np.ndarray, start: int, band: int = BAND)
 
 def regions(at: np.ndarray, place: np.ndarray, size: int, band: int = BAND) -> list[int]:
     """Start words of the candidate regions of a template's hits (text word, template word), one per group of near diagonals."""
-    diagonal = at - place
     out: list[int] = []
-    for d in np.sort(diagonal).tolist():
-        if not out or d - out[-1] > band // 2:
+    for d in np.sort(at - place).tolist():
+        if not out or d - out[-1] > band_of(size, band) // 2:
             out.append(d)
     return out
 
@@ -152,7 +156,7 @@ def matches(index: Index, words: np.ndarray, hits: list[tuple[int, int, int]], c
         template = index.words[t]
         at, place = (np.array(x) for x in zip(*pairs, strict=True))
         for start in regions(at, place, len(template)):
-            n, first, last = align(template, words, start)
+            n, first, last = align(template, words, start, band_of(len(template)))
             if n >= coverage * len(template):
                 found.append((n, -t, first, last))
     out: list[tuple[int, int, int, int]] = []
