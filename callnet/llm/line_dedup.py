@@ -10,8 +10,8 @@ key; only the repeated keys go on. These, copied to the salts they occur with, a
 each line and a key with a third of all lines is spread over many tasks. What comes back per document is not text
 but run lengths of kept and dropped lines, a compressed bitmap; the text moves once, to meet its bitmap.
 
-Defined results: a null or empty text is one empty line. Rows equal in doc_id and text are one document for the
-count and get the same result; rows that share only doc_id are different documents. A null doc_id is a value like any
+Defined results: a null or empty text is one empty line. Every row counts as a document, repeated rows too; rows equal
+in doc_id and text get the same result, and rows that share only doc_id are kept apart. A null doc_id is a value like any
 other. An empty table gives an empty table. Other columns, whatever their names, are passed through by `dedup_lines`.
 """
 
