@@ -10,7 +10,7 @@ from callnet.functions.scalars import safe_ratio
 from callnet.operators.graph.core import Graph
 from callnet.storage import materialize
 
-LEAST_GAIN, MAX_SWEEPS, MAX_LEVELS = 1e-7, 40, 30
+LEAST_GAIN, MAX_SWEEPS, MAX_LEVELS = 1e-7, 16, 30
 
 
 def modularity(g: Graph, partition: DataFrame, weight: str = "weight") -> DataFrame:
@@ -31,7 +31,7 @@ def _score(arcs: DataFrame, labels: DataFrame, loops: DataFrame, m: float) -> fl
     there = labels.select(F.col("node").alias("neighbour"), F.col("c").alias("d"))
     inner = arcs.join(labels, "node").join(there, "neighbour").where("c = d").agg(F.sum("w")).first()[0] or 0.0
     inner += 2 * (loops.agg(F.sum("w")).first()[0] or 0.0)
-    strength = arcs.groupBy("node").agg(F.sum("w").alias("k")).union(loops.select("node", 2 * F.col("w"))).groupBy("node").agg(F.sum("k").alias("k"))
+    strength = arcs.select("node", "w").union(loops.select("node", 2 * F.col("w"))).groupBy("node").agg(F.sum("w").alias("k"))
     squares = labels.join(strength, "node").groupBy("c").agg(F.sum("k").alias("k")).agg(F.sum(F.col("k") * F.col("k"))).first()[0] or 0.0
     return inner / (2 * m) - squares / (4 * m * m)
 
@@ -49,14 +49,15 @@ def _sweep(arcs: DataFrame, strength: DataFrame, labels: DataFrame, m: float, tu
     best = options.withColumn("gain", gain).groupBy("node").agg(F.max_by("c", F.struct("gain", F.col("c") == F.col("own"), "c")).alias("best"), F.max("gain").alias("top"), F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("stay"))
     mine = F.pmod(F.xxhash64("node", F.lit(turn // 2)), F.lit(2)) == turn % 2
     moved = labels.join(best, "node", "left")
-    return moved.select("node", F.when(mine & (F.col("top") > F.col("stay") + 1e-12), F.col("best")).otherwise(F.col("c")).alias("c"))
+    goes = F.coalesce(mine & (F.col("top") > F.col("stay") + 1e-12), F.lit(False))
+    return moved.select("node", F.when(goes, F.col("best")).otherwise(F.col("c")).alias("c"), goes.alias("moved"))
 
 
 def louvain(g: Graph, weight: str = "weight", seed: int = 42) -> DataFrame:
-    """N20. (node, community): local moves until modularity gains less than LEAST_GAIN, then communities become nodes, and so on.
+    """N20. (node, community): local moves until no node moves (MAX_SWEEPS at most), then communities become nodes, until modularity gains less than LEAST_GAIN.
 
     Moves are synchronous; only half of the nodes, by a hash that changes every other sweep, may move at a time, so neighbours don't
-    swap places for ever. A sweep or a level that lowers modularity is not kept. Communities are numbered from 0 by size, then least node.
+    swap places for ever. A level that doesn't raise modularity is not kept. Communities are numbered from 0 by size, then least node.
     """
     g = g.materialized()
     labels_of_nodes = g.vertices.select("node", F.col("node").alias("c"))
@@ -71,17 +72,16 @@ def louvain(g: Graph, weight: str = "weight", seed: int = 42) -> DataFrame:
         nodes = labels_of_nodes.select(F.col("c").alias("node")).distinct()
         strength = nodes.join(strength, "node", "left").na.fill(0.0, ["k"])
         labels = materialize(nodes.select("node", F.col("node").alias("c")), "labels")
-        now = start = _score(arcs, labels, loops, m)
+        start = _score(arcs, labels, loops, m)
         quiet = 0
         for turn in range(MAX_SWEEPS):
-            moved = materialize(_sweep(arcs, strength, labels, m, turn + seed % 2), "labels")
-            then = _score(arcs, moved, loops, m)
-            quiet = quiet + 1 if then - now < LEAST_GAIN else 0
-            if then > now:
-                labels, now = moved, then
-            if quiet == 4:  # both halves of two ways to halve
+            swept = materialize(_sweep(arcs, strength, labels, m, turn + seed % 2), "labels")
+            labels = swept.select("node", "c")
+            quiet = 0 if swept.where("moved").limit(1).count() else quiet + 1
+            if quiet == 2:  # neither half moves
                 break
-        if best_overall is not None and now - best_overall < LEAST_GAIN or now - start < LEAST_GAIN:
+        now = _score(arcs, labels, loops, m)
+        if now - start < LEAST_GAIN or best_overall is not None and now - best_overall < LEAST_GAIN:
             break
         best_overall = now
         labels_of_nodes = materialize(labels_of_nodes.join(labels.select(F.col("node").alias("c"), F.col("c").alias("up")), "c").select("node", F.col("up").alias("c")), "membership")

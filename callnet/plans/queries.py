@@ -29,21 +29,40 @@ def query(name: str, *parts: str, select: str | None = None) -> Callable[[Query]
     return register
 
 
+_views: dict[tuple[str, str, str], object] = {}
+
+
+def once(name: str, spark: SparkSession, sf_dir: str, build: Callable[[], object]) -> object:
+    """A result that several queries need, built once per application and input (all parts of it are written tables)."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _views:
+        _views[key] = build()
+    return _views[key]
+
+
 def sparse_graph(spark: SparkSession, sf_dir: str) -> core.Graph:
-    return core.Graph.from_edges(materialize(edges.undirected_edges(fixtures.edges(spark, sf_dir)), "undirected"))
+    return once("sparse", spark, sf_dir, lambda: core.Graph.from_edges(materialize(edges.undirected_edges(fixtures.edges(spark, sf_dir)), "undirected")).materialized())
 
 
 def dense_graph(spark: SparkSession, sf_dir: str) -> core.Graph:
-    return core.Graph.from_edges(materialize(edges.undirected_edges(fixtures.edges(spark, sf_dir, dense=True)), "undirected"))
+    return once("dense", spark, sf_dir, lambda: core.Graph.from_edges(materialize(edges.undirected_edges(fixtures.edges(spark, sf_dir, dense=True)), "undirected")).materialized())
 
 
 def sparse_giant(spark: SparkSession, sf_dir: str) -> core.Graph:
     """Without loops, as all structural metrics take it."""
-    return core.giant(sparse_graph(spark, sf_dir)).without_loops().materialized()
+    return once("sparse_giant", spark, sf_dir, lambda: core.giant(sparse_graph(spark, sf_dir)).without_loops().materialized())
 
 
 def dense_giant(spark: SparkSession, sf_dir: str) -> core.Graph:
-    return core.giant(dense_graph(spark, sf_dir)).materialized()
+    return once("dense_giant", spark, sf_dir, lambda: core.giant(dense_graph(spark, sf_dir)).materialized())
+
+
+def dense_cores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return once("cores", spark, sf_dir, lambda: materialize(kcore.core_numbers(dense_giant(spark, sf_dir)), "cores"))
+
+
+def dense_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return once("communities", spark, sf_dir, lambda: materialize(community.louvain(dense_giant(spark, sf_dir)), "communities"))
 
 
 def antenna_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -502,22 +521,22 @@ def self_loops(spark, sf_dir):
 
 @query("core_number")
 def core_number(spark, sf_dir):
-    return kcore.core_numbers(dense_giant(spark, sf_dir))
+    return dense_cores(spark, sf_dir)
 
 
 @query("core_sizes")
 def core_sizes(spark, sf_dir):
-    return kcore.core_sizes(kcore.core_numbers(dense_giant(spark, sf_dir)))
+    return kcore.core_sizes(dense_cores(spark, sf_dir))
 
 
 @query("core_histogram")
 def core_histogram(spark, sf_dir):
-    return profile.integer_histogram(kcore.core_numbers(dense_giant(spark, sf_dir)), "core")
+    return profile.integer_histogram(dense_cores(spark, sf_dir), "core")
 
 
 @query("core_nucleus")
 def core_nucleus(spark, sf_dir):
-    return kcore.nucleus(kcore.core_numbers(dense_giant(spark, sf_dir)))
+    return kcore.nucleus(dense_cores(spark, sf_dir))
 
 
 @query("path_length")
@@ -542,23 +561,23 @@ def top_hubs(spark, sf_dir):
 
 @query("louvain")
 def louvain(spark, sf_dir):
-    return community.louvain(dense_giant(spark, sf_dir))
+    return dense_communities(spark, sf_dir)
 
 
 @query("community_table")
 def community_table(spark, sf_dir):
-    return community.community_table(community.louvain(dense_giant(spark, sf_dir)))
+    return community.community_table(dense_communities(spark, sf_dir))
 
 
 @query("community_sizes")
 def community_sizes(spark, sf_dir):
-    return community.community_sizes(community.louvain(dense_giant(spark, sf_dir)))
+    return community.community_sizes(dense_communities(spark, sf_dir))
 
 
 @query("louvain_modularity")
 def louvain_modularity(spark, sf_dir):
     g = dense_giant(spark, sf_dir)
-    return community.modularity(g, community.louvain(g))
+    return community.modularity(g, dense_communities(spark, sf_dir))
 
 
 @query("random_graph")
