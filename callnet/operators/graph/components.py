@@ -37,7 +37,7 @@ def component_labels(edges: DataFrame) -> DataFrame:
     a, b = edges.columns[:2]
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
     pairs = materialize(pairs.distinct(), "edges")
-    stars, before = pairs.where("u <> v"), None
+    stars, before = pairs.where("u <> v"), _checksum(pairs.where("u <> v"))
     for _ in range(MAX_ROUNDS):
         stars = materialize(_small_star(_large_star(stars)), "stars")
         now = _checksum(stars)
