@@ -155,10 +155,10 @@ def _buckets(nodes: DataFrame, rows: int) -> DataFrame:
     return keyed.join(counts.select("key", "lo", "hi", F.explode(salts_of(F.col("parts"))).alias("part")), ["key", "part"])
 
 
-def _star_pairs(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b: members with the least and the greatest id of their bucket, where components differ."""
-    both = buckets.select("id", F.explode(F.array("lo", "hi")).alias("c")).where("id <> c").select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
-    return _apart(both, labels)
+def _star_pairs(buckets: DataFrame) -> DataFrame:
+    """(a, b), a < b: members with the least and the greatest id of their bucket."""
+    both = buckets.select("id", F.explode(F.array("lo", "hi")).alias("c")).where("id <> c")
+    return both.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b"))
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -306,9 +306,9 @@ class _Linker:
         return self._sets
 
     def verify(self, pairs: DataFrame, ids: DataFrame) -> None:
-        self.tested = materialize(self.tested.union(pairs.select("a", "b")), "tested")
+        self.tested = self.tested.union(pairs.select("a", "b"))
         new = materialize(_verified(pairs.select("a", "b"), self._members(ids), self.similarity).distinct(), "links")
-        self.links = materialize(self.links.union(new), "links")
+        self.links = self.links.union(new)
         found = component_labels(self.links)
         self.labels = materialize(self.nodes.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("label", "id").alias("label")), "labels")
         _free_shuffles(self.spark)
@@ -326,23 +326,25 @@ class _Linker:
             self.verify(rest, ids)
 
 
-def _link(docs: DataFrame, nodes: DataFrame, k: int, similarity: int) -> DataFrame:
-    """All links that matter to the components, as pairs of ids."""
+def _link(docs: DataFrame, nodes: DataFrame, k: int, similarity: int) -> _Linker:
+    """With all links that matter to the components."""
     linker = _Linker(docs, nodes, k, similarity)
     short = materialize(_buckets(nodes, SHORT), "buckets")
     ids = short.select("id").distinct()
-    for rows in LONG:
-        stars = _star_pairs(_buckets(nodes.join(ids, "id", "left_semi"), rows), linker.labels)
-        linker.confirm(materialize(_estimated(stars.select("a", "b"), nodes, similarity), "likely"), ids)
+    shared = nodes.join(ids, "id", "left_semi")
+    stars = _star_pairs(_buckets(shared, LONG[0]))
+    for rows in LONG[1:]:
+        stars = stars.union(_star_pairs(_buckets(shared, rows)))
+    linker.verify(materialize(_estimated(stars.distinct(), nodes, similarity), "likely"), ids)
     most = 8
     while True:
         pending = materialize(_pending(short, linker.labels), "pending")
         longest = pending.where("label <> main").groupBy("key").count().agg(F.max("count")).first()[0]
         if longest is None:
-            return linker.links
+            return linker
         linker.confirm(materialize(_likely_in_buckets(pending, nodes, most, similarity), "likely"), ids)
         if longest <= most:  # every member outside was a center: all cross pairs have been compared
-            return linker.links
+            return linker
         most *= 8
 
 
@@ -353,13 +355,13 @@ def near_duplicate_groups(docs: DataFrame, k: int = 5, similarity: int = 80) ->
     # One node per set; sets of one doc_id are one node with several rows.
     present = signed.where("node IS NOT NULL AND doc_id IS NOT NULL")
     nodes = materialize(present.groupBy("node").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs")), "nodes")
-    links = _link(docs, nodes, k, similarity)
+    linker = _link(docs, nodes, k, similarity)
+    found = linker.labels
     # a doc_id with several texts can tie sets together: then what equal sets share are links too
     several = present.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     if several.limit(1).count():
         same = present.join(nodes.select("node", "id"), "node").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-        links = links.union(same)
-    found = component_labels(links)
+        found = component_labels(linker.links.union(same))
     out = signed.select("doc_id", "n_shingles", "node").join(nodes.select("node", "id"), "node", "left")
     out = out.join(found.select("id", "label"), "id", "left")
     least = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("label", "id", "doc_id"))
