@@ -12,7 +12,7 @@ that links lead to.
    joins most of what belongs together, families that drift from copy to copy too, for two comparisons a row.
 3. Then bands of 4 registers, of which a pair at 80 % misses all 32 with probability 5e-8. A bucket that is one component needs
    nothing more. In the others the members outside the bucket's largest component are compared with all members of other
-   components, 8 times as many of them each round, until every cross pair has been compared: nothing is capped or given up. The
+   components, 64 of them at first and 64 times as many each round, until every cross pair has been compared: nothing is capped or given up. The
    comparison is of registers, in blocks of centers next to the member; only pairs whose collision-corrected estimate lies within 4 standard
    errors of the threshold become rows, each once (in the first band they share).
 4. Likely pairs are confirmed on the full sets of 64-bit shingle hashes: first the best one of each pair of components, then all
@@ -336,7 +336,7 @@ def _link(docs: DataFrame, nodes: DataFrame, k: int, similarity: int) -> _Linker
     for rows in LONG[1:]:
         stars = stars.union(_star_pairs(_buckets(shared, rows)))
     linker.verify(materialize(_estimated(stars.distinct(), nodes, similarity), "likely"), ids)
-    most = 8
+    most = 64
     while True:
         pending = materialize(_pending(short, linker.labels), "pending")
         longest = pending.where("label <> main").groupBy("key").count().agg(F.max("count")).first()[0]
@@ -345,7 +345,7 @@ def _link(docs: DataFrame, nodes: DataFrame, k: int, similarity: int) -> _Linker
         linker.confirm(materialize(_likely_in_buckets(pending, nodes, most, similarity), "likely"), ids)
         if longest <= most:  # every member outside was a center: all cross pairs have been compared
             return linker
-        most *= 8
+        most *= 64
 
 
 def near_duplicate_groups(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFrame:
