@@ -15,8 +15,8 @@ that links lead to.
    components, 64 of them at first and 64 times as many each round, until every cross pair has been compared: nothing is capped or given up. The
    comparison is of registers, in blocks of centers next to the member; only pairs whose collision-corrected estimate lies within 4 standard
    errors of the threshold become rows, each once (in the first band they share).
-4. Likely pairs are confirmed on the full sets of 64-bit shingle hashes: first the best one of each pair of components, then all
-   others that still lie in different components.
+4. Likely pairs are confirmed on the full sets of 64-bit shingle hashes. Before the rounds of step 3 each component has tested its best
+   likely pair twice, so few components are left for them.
 
 Defined results: rows with the same doc_id count as one document, so their texts' links are joined. A row with a null doc_id is
 linked with nothing and kept. Extra columns are ignored here and passed through by `drop_near_duplicates`. Repeated rows
@@ -39,8 +39,8 @@ from callnet.operators.graph.components import component_labels
 REGISTERS = 256
 #: Registers that bands use, and the band lengths of the rounds.
 BANDED, LONG, SHORT = 128, (16, 8), 4
-#: Centers that travel with a row.
-CENTERS = 16
+#: Centers that travel with a row, and rounds in which components only reach for their best neighbour.
+CENTERS, REACHES = 16, 2
 _HASH_BITS, _MANTISSA = 57, 10
 
 
@@ -116,6 +116,16 @@ def estimates(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> t
     return np.maximum(same - chance, 0) / np.maximum(used - chance, 1e-9), used
 
 
+def likely(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, similarity: int) -> tuple[np.ndarray, np.ndarray]:
+    """(positions of the rows that may reach the similarity, their estimates). The correction lowers the raw share, so what fails by that is out."""
+    same = ((x == y) & (x > 0)).sum(axis=1)
+    used = ((x > 0) | (y > 0)).sum(axis=1)
+    at = np.flatnonzero(same >= _floor(similarity, used) * used)
+    got, used = estimates(x[at], y[at], nx[at], ny[at])
+    ok = got >= _floor(similarity, used)
+    return at[ok], got[ok]
+
+
 def signatures(docs: DataFrame, k: int) -> DataFrame:
     """(doc_id, n_shingles, node, regs): node is the set's digest, null for an empty set."""
 
@@ -181,9 +191,8 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, similarity: int) -> DataFrame
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                got, used = estimates(_matrix(batch.column(4)), _matrix(batch.column(5)), batch.column(2).to_numpy(), batch.column(3).to_numpy())
-                out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got)], names=["a", "b", "estimate"])
-                yield out.filter(pa.array(got >= _floor(similarity, used)))
+                at, got = likely(_matrix(batch.column(4)), _matrix(batch.column(5)), batch.column(2).to_numpy(), batch.column(3).to_numpy(), similarity)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(got)], names=["a", "b", "estimate"])
 
     sized = pairs.join(a, "a").join(b, "b").where(100 * F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b"))
     return sized.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(keep, "a long, b long, estimate double").distinct()
@@ -204,8 +213,8 @@ def _ranked(rows: DataFrame, most: int) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("id"))).where(F.col("rank") <= most)
 
 
-def _likely_in_buckets(pending: DataFrame, nodes: DataFrame, most: int, similarity: int) -> DataFrame:
-    """(a, b, estimate) of pairs of a center (one of the first `most` outside its bucket's main component) and a member of another component."""
+def _likely_in_buckets(pending: DataFrame, nodes: DataFrame, most: int, similarity: int, best: bool = False) -> DataFrame:
+    """(a, b, estimate) of pairs of a center (one of the first `most` outside its bucket's main component) and a member of another component; best: of each member only its best pair per row."""
     side = nodes.select("id", "n", "regs")
     centers = _ranked(pending.where("label <> main").select("key", "part", "id", "label"), most)
     centers = centers.join(side, "id").groupBy("key", ((F.col("rank") - 1) / CENTERS).cast("int").alias("block")).agg(F.collect_list(F.struct("id", "label", "n", "regs")).alias("centers"))
@@ -232,14 +241,15 @@ def _likely_in_buckets(pending: DataFrame, nodes: DataFrame, most: int, similari
                     continue
                 c_regs = _matrix(flat.field(3).take(pa.array(ok)))
                 row, c_id, c_n = row[ok], c_id[ok], c_n[ok]
-                got, used = estimates(regs[row], c_regs, n[row], c_n)
-                good = got >= _floor(similarity, used)
-                if not good.any():
+                good, got = likely(regs[row], c_regs, n[row], c_n, similarity)
+                if not len(good):
                     continue
-                row, c_id, got, c_regs = row[good], c_id[good], got[good], c_regs[good]
-                # a pair is made in the first band that it shares
-                shared = band_keys(regs[row]) == band_keys(c_regs)
-                first = shared.argmax(axis=1) == band[row]
+                row, c_id, c_regs = row[good], c_id[good], c_regs[good]
+                if best:
+                    order = np.lexsort((-got, row))
+                    first = order[np.append(True, np.diff(row[order]) > 0)]
+                else:  # a pair is made in the first band that it shares
+                    first = np.flatnonzero((band_keys(regs[row]) == band_keys(c_regs)).argmax(axis=1) == band[row])
                 a, b = np.minimum(own[row], c_id)[first], np.maximum(own[row], c_id)[first]
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(got[first])], names=["a", "b", "estimate"])
 
@@ -305,25 +315,33 @@ class _Linker:
             _free_shuffles(self.spark)
         return self._sets
 
-    def verify(self, pairs: DataFrame, ids: DataFrame) -> None:
+    def verify(self, pairs: DataFrame, ids: DataFrame) -> bool:
+        """Test the pairs (a, b) on full sets; whether any is a link."""
         self.tested = self.tested.union(pairs.select("a", "b"))
         new = materialize(_verified(pairs.select("a", "b"), self._members(ids), self.similarity).distinct(), "links")
+        if not new.limit(1).count():
+            return False
         self.links = self.links.union(new)
         found = component_labels(self.links)
         self.labels = materialize(self.nodes.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("label", "id").alias("label")), "labels")
         _free_shuffles(self.spark)
+        return True
+
+    def _open(self, offers: DataFrame) -> DataFrame:
+        return _apart(offers.join(self.tested, ["a", "b"], "left_anti"), self.labels)
+
+    def join_best(self, offers: DataFrame, ids: DataFrame) -> bool:
+        """Test the best offer of each component; whether components were joined."""
+        pairs = self._open(offers)
+        sides = pairs.select(F.col("la").alias("l"), "estimate", "a", "b").union(pairs.select("lb", "estimate", "a", "b"))
+        chosen = materialize(sides.groupBy("l").agg(F.max(F.struct("estimate", "a", "b")).alias("best")).select("best.a", "best.b").distinct(), "best")
+        return bool(chosen.limit(1).count()) and self.verify(chosen, ids)
 
-    def confirm(self, likely: DataFrame, ids: DataFrame) -> None:
-        """Link what of `likely` (a, b, estimate) reaches the similarity and matters to the components."""
-        likely = likely.join(self.tested, ["a", "b"], "left_anti")
-        first = _apart(likely, self.labels).groupBy("la", "lb").agg(F.max(F.struct("estimate", "a", "b")).alias("best")).select("best.a", "best.b")
-        first = materialize(first, "best")
-        if not first.limit(1).count():
-            return
-        self.verify(first, ids)
-        rest = materialize(_apart(likely, self.labels).select("a", "b").join(first, ["a", "b"], "left_anti"), "rest")
-        if rest.limit(1).count():
-            self.verify(rest, ids)
+    def confirm(self, offers: DataFrame, ids: DataFrame) -> None:
+        """Test all offers that lie in different components."""
+        pairs = materialize(self._open(offers).select("a", "b"), "rest")
+        if pairs.limit(1).count():
+            self.verify(pairs, ids)
 
 
 def _link(docs: DataFrame, nodes: DataFrame, k: int, similarity: int) -> _Linker:
@@ -336,13 +354,18 @@ def _link(docs: DataFrame, nodes: DataFrame, k: int, similarity: int) -> _Linker
     for rows in LONG[1:]:
         stars = stars.union(_star_pairs(_buckets(shared, rows)))
     linker.verify(materialize(_estimated(stars.distinct(), nodes, similarity), "likely"), ids)
-    most = 64
+    # each component reaches for its best neighbour first, so that what drifts apart slowly is joined before all cross pairs are looked at
+    joined, most = 0, 64
     while True:
         pending = materialize(_pending(short, linker.labels), "pending")
         longest = pending.where("label <> main").groupBy("key").count().agg(F.max("count")).first()[0]
         if longest is None:
             return linker
-        linker.confirm(materialize(_likely_in_buckets(pending, nodes, most, similarity), "likely"), ids)
+        if joined < REACHES:
+            offers = _likely_in_buckets(pending, nodes, CENTERS, similarity, best=True)
+            joined = joined + 1 if linker.join_best(offers, ids) else REACHES
+            continue
+        linker.confirm(_likely_in_buckets(pending, nodes, most, similarity), ids)
         if longest <= most:  # every member outside was a center: all cross pairs have been compared
             return linker
         most *= 64
