@@ -4,11 +4,12 @@ A gear hash rolls over the UTF-8 bytes of a text: h = (h << 1) + G[byte], so bit
 where `MASK_BITS` bits below bit 16 are zero, that is after 32 bytes on average, and depends on 16 bytes of context only: behind an
 insertion the boundaries fall into place again after a chunk or two. No chunk is longer than `MAX_CHUNK` bytes.
 
-Chunks are counted by a 128-bit digest over documents, with map-side combining; the digests found in two documents or more go
+Chunks are counted by a 64-bit digest over documents (a span needs several neighbouring repeats, so a chance
+collision makes none), with map-side combining; the digests found in two documents or more go
 back to the chunks over salted ranges (as in `line_dedup`), so a chunk that a third of the rows hold is spread over many
 tasks. Neighbouring repeated chunks of a document make a span; spans of `MIN_WORDS` words or more are reported with byte positions. A passage of
 50 words keeps that many whole chunks inside its ragged edges. Spans in which every chunk occurred earlier (in a document with a
-smaller doc_id, or before in the same one) may be removed, the first occurrence stays.
+smaller doc_id) may be removed; the occurrences in the document with the least doc_id stay.
 
 Defined results: null or empty texts have no chunks. Rows equal in doc_id and text are one document and get the same result; a chunk
 that repeats within one document only is not a repeat. Null doc_ids are a value like any other, before all others. Other columns are ignored.
@@ -27,6 +28,7 @@ from callnet.llm.common import read_table, salt, salt_mask, salts_of
 
 MASK_BITS, MAX_CHUNK = 5, 256
 MIN_WORDS = 24
+_NO_ID = -(1 << 63)
 
 
 def _gear() -> np.ndarray:
@@ -64,8 +66,8 @@ def boundaries(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, pos, start, size, words, h1, h2): the chunks of each text; start and size in bytes, words: those that begin in it."""
-    schema = "doc_id long, th long, pos int, start long, size int, words int, h1 long, h2 long"
+    """(doc_id, th, pos, start, size, words, h): the chunks of each text; start and size in bytes, words: those that begin in it."""
+    schema = "doc_id long, th long, pos int, start long, size int, words int, h long"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from callnet.llm.wordhash import _BLANK, _power, byte_blocks, mix
@@ -81,16 +83,13 @@ def chunks(docs: DataFrame) -> DataFrame:
                 begins = inside & np.append(True, ~inside[:-1])
                 words = np.append(0, np.cumsum(begins))
                 power, inverse = _power(len(data))
-                digest = []
-                for seed in (1, 0x1D8E4E27C47D124F):
-                    total = np.append(np.zeros(1, np.uint64), np.cumsum(mix(data.astype(np.uint64) + np.uint64(seed)) * power))
-                    digest.append(mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)))
+                total = np.append(np.zeros(1, np.uint64), np.cumsum(mix(data.astype(np.uint64) + np.uint64(1)) * power))
+                digest = mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
                 own = np.searchsorted(doc, np.arange(len(offsets)))
                 pos = np.arange(len(doc)) - own[doc]
                 rows = pa.array(first + doc)
                 columns = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(pos.astype(np.int32)), pa.array(starts - offsets[doc]), pa.array((ends - starts).astype(np.int32)), pa.array((words[ends] - words[starts]).astype(np.int32))]
-                columns += [pa.array(x.view(np.int64)) for x in digest]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", "pos", "start", "size", "words", "h1", "h2"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(digest.view(np.int64))], names=["doc_id", "th", "pos", "start", "size", "words", "h"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     return texts.mapInArrow(cut, schema)
@@ -98,17 +97,20 @@ def chunks(docs: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, th, start, end, words, later): spans of repeated chunks; later: every chunk of it occurred in an earlier place."""
-    rows = chunks(docs).withColumn("part", salt(F.col("doc_id"), F.col("th")))
-    counted = rows.groupBy("h1", "h2").agg(
-        F.min(F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id", "th")).alias("first"), F.max(F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id", "th")).alias("last"), salt_mask(F.col("part")).alias("parts")
-    )
-    heads = counted.where("first <> last").select("h1", "h2", F.struct(F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias("th")).alias("first"), F.explode(salts_of(F.col("parts"))).alias("part"))
-    streamed = rows.withColumns({"kind": F.lit(1), "first": F.lit(None)}).unionByName(heads.withColumn("kind", F.lit(0)), allowMissingColumns=True)
-    streamed = streamed.repartitionByRange("h1", "h2", "part").sortWithinPartitions("h1", "h2", "part", "kind")
-    over = Window.partitionBy("h1", "h2", "part").orderBy("kind").rowsBetween(Window.unboundedPreceding, 0)
-    repeated = streamed.withColumn("head", F.first("first").over(over)).where("kind = 1 AND head IS NOT NULL")
-    own = F.col("head.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("head.th") == F.col("th"))
-    repeated = repeated.select("doc_id", "th", "pos", "start", "size", "words", own.alias("own")).distinct()
+    # narrow rows: where a chunk lies in one number, its size and words in another
+    rows = chunks(docs).select("h", "doc_id", "th", F.expr("(CAST(pos AS BIGINT) << 31) | start").alias("at"), F.expr("size * 1024 + words").alias("extent"))
+    part = salt(F.col("doc_id"), F.col("th"))
+    who = F.xxhash64("doc_id", "th")
+    counted = rows.groupBy("h").agg(F.min(who).alias("lo"), F.max(who).alias("hi"), F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("first_id"), salt_mask(part).alias("parts")).where("lo <> hi")
+    heads = counted.select("h", "first_id", F.explode(salts_of(F.col("parts"))).alias("part"))
+    streamed = rows.withColumns({"part": part, "first_id": F.lit(None).cast("long")}).unionByName(heads, allowMissingColumns=True)
+    streamed = streamed.repartitionByRange("h", "part").sortWithinPartitions("h", "part", F.col("first_id").desc_nulls_last())
+    over = Window.partitionBy("h", "part").orderBy(F.col("first_id").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    repeated = streamed.withColumn("head", F.first("first_id", ignorenulls=True).over(over)).where("at IS NOT NULL AND head IS NOT NULL")
+    own = F.col("head") == F.coalesce("doc_id", F.lit(_NO_ID))
+    repeated = repeated.select(
+        "doc_id", "th", F.expr("CAST(at >> 31 AS INT)").alias("pos"), F.expr("at & 2147483647L").alias("start"), F.expr("extent div 1024").alias("size"), F.expr("extent % 1024").alias("words"), own.alias("own")
+    ).distinct()
     # neighbours: positions that follow one another
     doc = Window.partitionBy("doc_id", "th").orderBy("pos")
     runs = repeated.withColumn("run", F.col("pos") - F.row_number().over(doc)).groupBy("doc_id", "th", "run")
