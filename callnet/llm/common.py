@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callnet.storage import materialize, scratch_path, shared_dir
 
-__all__ = ["SALTS", "ascii_lower", "fresh", "materialize", "read_table", "salt", "salt_mask", "salts_of", "scratch_path", "shared_dir"]
+__all__ = ["SALTS", "ascii_lower", "free_shuffles", "fresh", "materialize", "read_table", "salt", "salt_mask", "salts_of", "scratch_path", "shared_dir"]
 
 #: Parts that a hot key is dealt into. A power of two, 32 at most (a bit mask records the parts in use).
 SALTS = 32
@@ -16,6 +18,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now rather than at some later collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that no column of `df` has (Spark compares names without case)."""
     taken = {c.lower() for c in df.columns}

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from callnet.llm.common import fresh, materialize, read_table, salt, salt_mask, salts_of
+from callnet.llm.common import free_shuffles, fresh, materialize, read_table, salt, salt_mask, salts_of
 from callnet.operators.graph.components import component_labels
 
 REGISTERS = 256
@@ -293,11 +293,6 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return both.mapInArrow(keep, "a long, b long")
 
 
-def _free_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished rounds now rather than at some later collection."""
-    spark.sparkContext._jvm.System.gc()
-
-
 class _Linker:
     """Links found so far and the components that they make of `ids`."""
 
@@ -312,7 +307,7 @@ class _Linker:
         """Full sets; read once for all ids that any bucket holds."""
         if self._sets is None:
             self._sets = materialize(_full_sets(self.docs, ids, self.k), "sets")
-            _free_shuffles(self.spark)
+            free_shuffles(self.spark)
         return self._sets
 
     def verify(self, pairs: DataFrame, ids: DataFrame) -> bool:
@@ -324,7 +319,7 @@ class _Linker:
         self.links = self.links.union(new)
         found = component_labels(self.links)
         self.labels = materialize(self.nodes.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("label", "id").alias("label")), "labels")
-        _free_shuffles(self.spark)
+        free_shuffles(self.spark)
         return True
 
     def _open(self, offers: DataFrame) -> DataFrame:
@@ -388,7 +383,7 @@ def near_duplicate_groups(docs: DataFrame, k: int = 5, similarity: int = 80) ->
     out = signed.select("doc_id", "n_shingles", "node").join(nodes.select("node", "id"), "node", "left")
     out = out.join(found.select("id", "label"), "id", "left")
     least = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("label", "id", "doc_id"))
-    _free_shuffles(spark)
+    free_shuffles(spark)
     return out.select("doc_id", "n_shingles", least.cast("long").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

@@ -100,6 +100,28 @@ def test_fingerprint_is_of_the_sparsest_lexicons(spark):
     assert [r[0] for r in alike] == [1.0, 0.0, 0.0]
 
 
+def test_large_groups_of_copies_and_near_copies_keep_their_likeness(documents):
+    """Groups of a third of the rows, whose words are in no band."""
+    rng = random.Random(15)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    copied, template = ([word() for _ in range(120)] for _ in range(2))
+    near = []
+    for _ in range(60):
+        t = list(template)
+        for _ in range(2):
+            t[rng.randrange(120)] = word()
+        near.append(" ".join(t))
+    texts = [" ".join(copied)] * 60 + near + [" ".join(word() for _ in range(120)) for _ in range(60)] + ["?!", "?!", "!!"]
+    got = {r.doc_id: r for r in imatch.edited_fingerprints(documents(texts)).collect()}
+    # the next document is the one with the id before
+    assert all(got[i].near_next == 1 for i in range(1, 60)) and all(got[i].near_edited > 0.2 for i in range(1, 60))
+    assert np.mean([got[i].near_next for i in range(61, 120)]) > 0.85
+    assert all(got[i].near_edited > 0.2 for i in range(61, 120))
+    assert all("----" * 32 not in got[i].fingerprint for i in range(180))
+    assert np.mean([got[i].near_next for i in range(121, 180)]) < 0.05
+    assert got[181].near_next == 1 and got[182].near_next == 0
+
+
 # -- decontamination
 
 
