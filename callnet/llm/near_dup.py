@@ -7,8 +7,9 @@ that links lead to.
 
 1. `signatures`: one hash per shingle fills `REGISTERS` buckets; each keeps the leading-zero count and 10 mantissa bits of its
    least value in 16 bits (HyperMinHash). Equal sets share a 128-bit digest and count once from here on.
-2. Bands of registers give candidate buckets (empty registers are filled from others by fixed random probes, for banding
-   only). Long bands first (16, then 8 registers): each member is compared with the least and the greatest id of its bucket. That
+2. Bands of registers give candidate buckets. Sets of up to `SMALL` members leave too many registers empty for that: these, and those up to
+   where a partner may be that small, have bands of `BANDED` independent min-hashes, so each pair that may be linked shares one
+   kind of bands. (Empty registers of larger sets are filled from others by fixed random probes, for banding only.) Long bands first (16, then 8 registers): each member is compared with the least and the greatest id of its bucket. That
    joins most of what belongs together, families that drift from copy to copy too, for two comparisons a row.
 3. Then bands of 4 registers, of which a pair at 80 % misses all 32 with probability 5e-8. A bucket that is one component needs
    nothing more. In the others the members outside the bucket's largest component are compared with all members of other
@@ -39,6 +40,8 @@ from callnet.operators.graph.components import component_labels
 REGISTERS = 256
 #: Registers that bands use, and the band lengths of the rounds.
 BANDED, LONG, SHORT = 128, (16, 8), 4
+#: Sets of more members are banded by registers; values kept per set: registers, then min-hashes (zeros for larger sets).
+SMALL, WIDTH = 512, REGISTERS + BANDED
 #: Centers that travel with a row, and rounds in which components only reach for their best neighbour.
 CENTERS, REACHES = 16, 2
 _HASH_BITS, _MANTISSA = 57, 10
@@ -66,6 +69,29 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+_MIX = np.random.default_rng(20240503).integers(0, 1 << 64, (2, BANDED), dtype=np.uint64) | np.array([[1], [0]], dtype=np.uint64)
+
+
+def most_small(similarity: int) -> int:
+    """Members of the largest set that may be linked with one of `SMALL`."""
+    return SMALL * 100 // similarity
+
+
+def min_hashes(sets: list[np.ndarray], most: int) -> np.ndarray:
+    """One row of `BANDED` independent 16-bit min-hashes per set; 0 if it is empty or has more than `most` members."""
+    from callnet.llm.wordhash import mix
+
+    out = np.zeros((len(sets), BANDED), dtype=np.uint16)
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    at = np.flatnonzero((sizes > 0) & (sizes <= most))
+    if len(at):
+        h = mix(np.concatenate([sets[i] for i in at]) ^ np.uint64(0xB5297A4D3F84D5B5))
+        first = np.cumsum(sizes[at]) - sizes[at]
+        for j in range(BANDED):
+            out[at, j] = mix(np.minimum.reduceat((h ^ _MIX[1, j]) * _MIX[0, j], first)) >> np.uint64(48)
+    return out
+
+
 def _probes() -> np.ndarray:
     rng = np.random.default_rng(20240501)
     return np.stack([rng.permutation(BANDED) for _ in range(BANDED)])
@@ -76,8 +102,6 @@ _PROBES = _probes()
 
 def band_keys(regs: np.ndarray, rows: int = SHORT) -> np.ndarray:
     """A 64-bit key for each row of registers and each band of `rows` (4, 8 or 16) registers."""
-    from callnet.llm.wordhash import mix
-
     source = regs[:, :BANDED]
     # a set so small that it misses all banded registers is banded by the others
     bare = ~source.any(axis=1)
@@ -93,13 +117,29 @@ def band_keys(regs: np.ndarray, rows: int = SHORT) -> np.ndarray:
                 break
             part = np.where(empty, own[:, probe], part)
         full[short] = part
-    words = np.ascontiguousarray(full).view("<u8").reshape(len(regs), BANDED // rows, rows // 4)
+    return _keys(full, rows)
+
+
+def _keys(values: np.ndarray, rows: int) -> np.ndarray:
+    from callnet.llm.wordhash import mix
+
+    words = np.ascontiguousarray(values).view("<u8").reshape(len(values), BANDED // rows, rows // 4)
     key = np.arange(1, BANDED // rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(rows)
     for j in range(rows // 4):
         key = mix(words[:, :, j] ^ key)
     return key
 
 
+def all_keys(values: np.ndarray, n: np.ndarray, rows: int, similarity: int) -> np.ndarray:
+    """The keys of the register bands, then those of the min-hash bands, for rows of `WIDTH` values; 0 in bands that a set of n members doesn't have."""
+    bands = BANDED // rows
+    out = np.zeros((len(values), 2 * bands), dtype=np.uint64)
+    large, small = n > SMALL, n <= most_small(similarity)
+    out[large, :bands] = band_keys(values[large, :REGISTERS], rows)
+    out[small, bands:] = ~_keys(values[small, REGISTERS:], rows)
+    return out
+
+
 def collision_rate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Probability that the registers of disjoint sets of a and b members agree by chance (both filled)."""
     la, lb = (np.maximum(x, 1)[:, None] / REGISTERS for x in (a, b))
@@ -118,6 +158,7 @@ def estimates(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> t
 
 def likely(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, similarity: int) -> tuple[np.ndarray, np.ndarray]:
     """(positions of the rows that may reach the similarity, their estimates). The correction lowers the raw share, so what fails by that is out."""
+    x, y = x[:, :REGISTERS], y[:, :REGISTERS]
     same = ((x == y) & (x > 0)).sum(axis=1)
     used = ((x > 0) | (y > 0)).sum(axis=1)
     at = np.flatnonzero(same >= _floor(similarity, used) * used)
@@ -126,8 +167,8 @@ def likely(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, similar
     return at[ok], got[ok]
 
 
-def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, node, regs): node is the set's digest, null for an empty set."""
+def signatures(docs: DataFrame, k: int, similarity: int) -> DataFrame:
+    """(doc_id, n_shingles, node, regs): node is the set's digest, null for an empty set; regs: its registers and min-hashes."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from callnet.llm.wordhash import shingle_sets, word_blocks
@@ -135,7 +176,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             for block in word_blocks(batch.column(1)):
                 sets = list(shingle_sets(block, k))
-                regs = registers(sets)
+                regs = np.concatenate([registers(sets), min_hashes(sets, most_small(similarity))], axis=1)
                 digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(block.first, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array([r.tobytes() for r in regs], pa.binary())],
@@ -146,21 +187,21 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u2").reshape(-1, REGISTERS)
+    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u2").reshape(-1, WIDTH)
 
 
-def _buckets(nodes: DataFrame, rows: int) -> DataFrame:
+def _buckets(nodes: DataFrame, rows: int, similarity: int) -> DataFrame:
     """(key, band, id, n, regs, lo, hi, part) of all band buckets that hold several ids; lo, hi: the bucket's least and greatest id."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                keys = band_keys(_matrix(batch.column(1)), rows)
-                bands = keys.shape[1]
-                columns = [pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.tile(np.arange(bands, dtype=np.int32), batch.num_rows)), pa.array(np.repeat(batch.column(0).to_numpy(), bands))]
+                keys = all_keys(_matrix(batch.column(1)), batch.column(2).to_numpy(), rows, similarity)
+                row, band = np.nonzero(keys)
+                columns = [pa.array(keys[row, band].view(np.int64)), pa.array(band.astype(np.int32)), pa.array(batch.column(0).to_numpy()[row])]
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "band", "id"])
 
-    keyed = nodes.select("id", "regs").mapInArrow(spread, "key long, band int, id long").withColumn("part", salt(F.col("id")))
+    keyed = nodes.select("id", "regs", "n").mapInArrow(spread, "key long, band int, id long").withColumn("part", salt(F.col("id")))
     counts = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), salt_mask(F.col("part")).alias("parts")).where("lo < hi")
     return keyed.join(counts.select("key", "lo", "hi", F.explode(salts_of(F.col("parts"))).alias("part")), ["key", "part"])
 
@@ -249,7 +290,8 @@ def _likely_in_buckets(pending: DataFrame, nodes: DataFrame, most: int, similari
                     order = np.lexsort((-got, row))
                     first = order[np.append(True, np.diff(row[order]) > 0)]
                 else:  # a pair is made in the first band that it shares
-                    first = np.flatnonzero((band_keys(regs[row]) == band_keys(c_regs)).argmax(axis=1) == band[row])
+                    own_keys, c_keys = all_keys(regs[row], n[row], SHORT, similarity), all_keys(c_regs, c_n[good], SHORT, similarity)
+                    first = np.flatnonzero(((own_keys == c_keys) & (own_keys != 0)).argmax(axis=1) == band[row])
                 a, b = np.minimum(own[row], c_id)[first], np.maximum(own[row], c_id)[first]
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(got[first])], names=["a", "b", "estimate"])
 
@@ -342,12 +384,12 @@ class _Linker:
 def _link(docs: DataFrame, nodes: DataFrame, k: int, similarity: int) -> _Linker:
     """With all links that matter to the components."""
     linker = _Linker(docs, nodes, k, similarity)
-    short = materialize(_buckets(nodes, SHORT), "buckets")
+    short = materialize(_buckets(nodes, SHORT, similarity), "buckets")
     ids = short.select("id").distinct()
     shared = nodes.join(ids, "id", "left_semi")
-    stars = _star_pairs(_buckets(shared, LONG[0]))
+    stars = _star_pairs(_buckets(shared, LONG[0], similarity))
     for rows in LONG[1:]:
-        stars = stars.union(_star_pairs(_buckets(shared, rows)))
+        stars = stars.union(_star_pairs(_buckets(shared, rows, similarity)))
     linker.verify(materialize(_estimated(stars.distinct(), nodes, similarity), "likely"), ids)
     # each component reaches for its best neighbour first, so that what drifts apart slowly is joined before all cross pairs are looked at
     joined, most = 0, 64
@@ -369,7 +411,7 @@ def _link(docs: DataFrame, nodes: DataFrame, k: int, similarity: int) -> _Linker
 def near_duplicate_groups(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs."""
     spark = docs.sparkSession
-    signed = materialize(signatures(docs, k), "signatures")
+    signed = materialize(signatures(docs, k, similarity), "signatures")
     # One node per set; sets of one doc_id are one node with several rows.
     present = signed.where("node IS NOT NULL AND doc_id IS NOT NULL")
     nodes = materialize(present.groupBy("node").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs")), "nodes")

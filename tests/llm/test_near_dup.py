@@ -88,3 +88,30 @@ def test_estimates_and_bands():
     for rows in (4, 8, 16):
         keys = near_dup.band_keys(single, rows)
         assert keys.shape == (2, 128 // rows) and (keys[0] == keys[1]).all()
+
+
+@pytest.mark.parametrize(("both", "one", "other"), [(4, 1, 0), (5, 1, 0), (8, 2, 0), (8, 1, 1), (16, 2, 2), (24, 6, 0), (48, 6, 6), (200, 50, 0), (1000, 250, 0), (1200, 150, 150)])
+def test_pairs_at_the_threshold_share_a_band(both, one, other):
+    """Of any size: sets that just reach 80 % meet in a bucket and pass the estimate."""
+    rng = np.random.default_rng(both)
+    n, m, most = both + one, both + other, near_dup.most_small(80)
+    for _ in range(10 if both < 100 else 2):
+        pools = rng.integers(0, 1 << 63, (300, n + other)).astype(np.uint64)
+        sets = [np.unique(p[:n]) for p in pools] + [np.unique(np.append(p[:both], p[n:])) for p in pools]
+        rows = np.concatenate([near_dup.registers(sets), near_dup.min_hashes(sets, most)], axis=1)
+        sizes = np.repeat([n, m], 300)
+        keys = near_dup.all_keys(rows, sizes, near_dup.SHORT, 80)
+        assert ((keys[:300] == keys[300:]) & (keys[:300] != 0)).any(axis=1).all()
+        assert len(near_dup.likely(rows[:300], rows[300:], sizes[:300], sizes[300:], 80)[0]) == 300
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_short_pairs_at_the_threshold_against_brute_force(documents, seed):
+    """Sequences of 7 to 20 words and the same with a word more."""
+    rng = random.Random(seed)
+    texts = []
+    for _ in range(500):
+        t = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(rng.choice([7, 7, 8, 11, 20]))]
+        texts += [" ".join(t), " ".join([*t, "end"])]
+    got = near_dup.near_duplicate_groups(documents(texts), 4, 80).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i - i % 2 for i in range(len(texts))}
