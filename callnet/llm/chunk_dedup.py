@@ -1,14 +1,17 @@
 """Substring deduplication by content-defined chunks.
 
-A gear hash rolls over the UTF-8 bytes of a text: h = (h << 1) + G[byte], so bit b of h depends on the last b + 1 bytes. A chunk ends
-where `MASK_BITS` bits below bit 16 are zero, that is after 32 bytes on average, and depends on 16 bytes of context only: behind an
-insertion the boundaries fall into place again after a chunk or two. No chunk is longer than `MAX_CHUNK` bytes.
+A gear hash rolls over the UTF-8 bytes of a text: h = (h << 1) + G[byte]; bit b depends on b + 1 bytes, so the low 14 bits that are used on 14 bytes of context only. Of each
+`WINDOW` words in a row, the chunks end before the one (the last of equals) that has the least hash; that is after 5 or 6 words on average,
+and never after more than `WINDOW`. They also end where `MASK_BITS` bits of the hash are zero, which cuts long words. So the ends within a passage follow from the
+passage alone, wherever it occurs, but for its first 14 bytes and the `WINDOW` words at either end: behind an insertion they fall into
+place again, and text of one word or of few, repeated, is cut the same in each copy. Nothing depends on where the chunk before ended, save
+in chunks of more than `MAX_CHUNK` bytes, which need a word of that length.
 
 Chunks are counted by a 64-bit digest over documents (a span needs several neighbouring repeats, so a chance
 collision makes none), with map-side combining; the digests found in two documents or more go
 back to the chunks over salted ranges (as in `line_dedup`), so a chunk that a third of the rows hold is spread over many
-tasks. Neighbouring repeated chunks of a document make a span; spans of `MIN_WORDS` words or more are reported with byte positions. A passage of
-50 words keeps that many whole chunks inside its ragged edges. Spans in which every chunk occurred earlier (in a document with a
+tasks. Neighbouring repeated chunks of a document make a span; spans of `MIN_WORDS` words or more are reported with byte positions. Any passage of
+50 words keeps that many in whole chunks: 50 less at most 7 words that begin in 14 bytes and 19 in two windows. Spans in which every chunk occurred earlier (in a document with a
 smaller doc_id) may be removed; the occurrences in the document with the least doc_id stay.
 
 Defined results: null or empty texts have no chunks. Rows equal in doc_id and text are one document and get the same result; a chunk
@@ -26,7 +29,9 @@ from pyspark.sql import functions as F
 
 from callnet.llm.common import read_table, salt, salt_mask, salts_of
 
-MASK_BITS, MAX_CHUNK = 5, 256
+MASK_BITS, MAX_CHUNK = 12, 1 << 14
+#: Bytes that a chunk end depends on, and words of which one at least begins a chunk.
+CONTEXT, WINDOW = 14, 10
 MIN_WORDS = 24
 _NO_ID = -(1 << 63)
 
@@ -36,11 +41,25 @@ def _gear() -> np.ndarray:
 
 
 GEAR = _gear()
-_MASK = np.uint32(((1 << MASK_BITS) - 1) << (16 - MASK_BITS))
+_MASK = np.uint32(((1 << MASK_BITS) - 1) << (CONTEXT - MASK_BITS))
 
 
-def boundaries(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Chunk ends (exclusive) of all documents of a block, in order; every document ends a chunk."""
+def word_cuts(h: np.ndarray, begins: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The word beginnings that have the least hash of the bytes before them in some window of `WINDOW` words of a document, the last of equals."""
+    at = np.flatnonzero(begins)
+    at = at[~np.isin(at, offsets)]  # a document begins a chunk anyway
+    if len(at) < WINDOW:
+        return at[:0]
+    # the least key is the least hash and, of equals, the last
+    key = ((h[at - 1] & np.uint32((1 << CONTEXT) - 1)).astype(np.int64) << 32) + np.arange(len(at), 0, -1)
+    windows = np.lib.stride_tricks.sliding_window_view(key, WINDOW)
+    doc = np.searchsorted(offsets, at, side="right")
+    whole = doc[: len(windows)] == doc[WINDOW - 1 :]
+    return at[np.unique(np.arange(len(windows))[whole] + windows[whole].argmin(axis=1))]
+
+
+def boundaries(data: np.ndarray, offsets: np.ndarray, begins: np.ndarray | None = None) -> np.ndarray:
+    """Chunk ends (exclusive) of all documents of a block, in order; every document ends a chunk. begins: where words begin; without, only the mask cuts."""
     n = len(data)
     h = GEAR[data]
     head = offsets[:-1]
@@ -55,7 +74,10 @@ def boundaries(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         for i in range(a, min(a + 15, b)):
             x = ((x << 1) + int(GEAR[data[i]])) & 0xFFFFFFFF
             cut[i] = not x & int(_MASK)
+            h[i] = x
     cut[offsets[1:][offsets[1:] > head] - 1] = True
+    if begins is not None:
+        cut[word_cuts(h, begins, offsets) - 1] = True
     ends = np.flatnonzero(cut) + 1
     starts = np.append(0, ends[:-1])
     long = np.flatnonzero(ends - starts > MAX_CHUNK)
@@ -76,11 +98,12 @@ def chunks(docs: DataFrame) -> DataFrame:
             for first, _, data, offsets in byte_blocks(batch.column(2)):
                 if not len(data):
                     continue
-                ends = boundaries(data, offsets)
-                starts = np.append(0, ends[:-1])
-                doc = np.searchsorted(offsets, starts, side="right") - 1
                 inside = ~_BLANK[data]
                 begins = inside & np.append(True, ~inside[:-1])
+                begins[offsets[:-1][np.diff(offsets) > 0]] |= inside[offsets[:-1][np.diff(offsets) > 0]]
+                ends = boundaries(data, offsets, begins)
+                starts = np.append(0, ends[:-1])
+                doc = np.searchsorted(offsets, starts, side="right") - 1
                 words = np.append(0, np.cumsum(begins))
                 power, inverse = _power(len(data))
                 total = np.append(np.zeros(1, np.uint64), np.cumsum(mix(data.astype(np.uint64) + np.uint64(1)) * power))

@@ -214,6 +214,41 @@ def test_repeated_passages_are_found_behind_insertions(documents):
     assert chunk_dedup.report(documents([])).count() == 0
 
 
+def whole_words(passage, before, after):
+    """The most words of a passage that lie in whole chunks which are the same in two texts."""
+    kept = []
+    for x, y in zip(before, after, strict=True):
+        text = f"{x} {passage} {y}".encode()
+        data, offsets = np.frombuffer(text, dtype=np.uint8), np.array([0, len(text)])
+        blank = np.isin(data, [9, 10, 11, 12, 13, 32])
+        begins = ~blank & np.append(True, blank[:-1])
+        ends = chunk_dedup.boundaries(data, offsets, begins) - len(x.encode()) - 1
+        kept.append(ends[(ends >= 0) & (ends <= len(passage.encode()))])
+    same = sorted(set(kept[0].tolist()) & set(kept[1].tolist()))
+    best = 0
+    for i, a in enumerate(same):
+        for b in same[i:]:
+            if [e for e in kept[0] if a <= e <= b] == [e for e in kept[1] if a <= e <= b]:
+                best = max(best, len(passage.encode()[a:b].split()))
+    return best
+
+
+def test_any_passage_of_50_words_keeps_whole_chunks():
+    rng = random.Random(16)
+    kinds = [lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))), lambda: rng.choice("abc"), lambda: "x" * rng.randint(1, 3), lambda: "same", lambda: rng.choice(["|", "--", "0"])]
+    for i in range(500):
+        passage = " ".join(kinds[i % 5]() for _ in range(50))
+        sides = [[prose(rng, 30) + " " * rng.randint(0, 9) for _ in range(2)] for _ in range(2)]
+        assert whole_words(passage, *sides) >= chunk_dedup.MIN_WORDS
+
+
+def test_short_and_periodic_passages_are_found_in_all_their_documents(documents):
+    rng = random.Random(17)
+    passages = [prose(rng, 51) for _ in range(200)] + ["| " * 60, "ha " * 70, "ab cd " * 40]
+    docs = documents([f"{prose(rng, rng.randint(5, 60))} {p} {prose(rng, 40)}" for p in passages for _ in range(2)])
+    assert chunk_dedup.report(docs).where("NOT repeated").count() == 0
+
+
 # -- licenses
 
 
