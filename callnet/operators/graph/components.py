@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from callnet.storage import materialize
+from callnet.storage import discard, materialize
 
 MAX_ROUNDS = 60
 
 
-def _checksum(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-    return int(row["n"]), int(row["x"] or 0)
+def _written(edges: DataFrame, name: str) -> tuple[DataFrame, tuple[int, int]]:
+    """The edges, materialized, and a checksum that the same write takes."""
+    seen = Observation()
+    out = materialize(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")), name)
+    return out, (int(seen.get["n"]), int(seen.get["x"] or 0))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -37,10 +39,11 @@ def component_labels(edges: DataFrame) -> DataFrame:
     a, b = edges.columns[:2]
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
     pairs = materialize(pairs.distinct(), "edges")
-    stars, before = pairs.where("u <> v"), _checksum(pairs.where("u <> v"))
+    stars, before = _written(_small_star(_large_star(pairs.where("u <> v"))), "stars")
     for _ in range(MAX_ROUNDS):
-        stars = materialize(_small_star(_large_star(stars)), "stars")
-        now = _checksum(stars)
+        last = stars
+        stars, now = _written(_small_star(_large_star(last)), "stars")
+        discard(last)
         if now == before:
             break
         before = now
