@@ -98,7 +98,8 @@ class BatchTokenizer:
         power, inverse = _power(n)
         total = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum((low.astype(np.uint64) + np.uint64(1)) * power, out=total[1:])
-        h = mix((total[end] - total[start]) * inverse[start] + ((end - start).astype(np.uint64) << np.uint64(3)) + kind[start])
+        # length and kind are mixed on their own: added to the polynomial they would make keys of neighbouring bytes equal
+        h = mix((total[end] - total[start]) * inverse[start] ^ mix(((end - start).astype(np.uint64) << np.uint64(3)) | kind[start]))
         distinct, at, back = np.unique(h, return_index=True, return_inverse=True)
         strange = kind[start[at]] == _ODD
         plain = np.flatnonzero(~strange)
