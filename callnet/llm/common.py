@@ -7,9 +7,9 @@ import gc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callnet.storage import materialize, scratch_path, shared_dir
+from callnet.storage import discard, materialize, scratch_path, shared_dir
 
-__all__ = ["SALTS", "ascii_lower", "free_shuffles", "fresh", "materialize", "read_table", "salt", "salt_mask", "salts_of", "scratch_path", "shared_dir"]
+__all__ = ["SALTS", "ascii_lower", "discard", "free_shuffles", "fresh", "materialize", "read_table", "salt", "salt_mask", "salts_of", "scratch_path", "shared_dir"]
 
 #: Parts that a hot key is dealt into. A power of two, 32 at most (a bit mask records the parts in use).
 SALTS = 32

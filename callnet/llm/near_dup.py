@@ -7,21 +7,21 @@ that links lead to.
 
 1. `signatures`: one hash per shingle fills `REGISTERS` buckets; each keeps the leading-zero count and 10 mantissa bits of its
    least value in 16 bits (HyperMinHash). Equal sets share a 128-bit digest and count once from here on.
-2. Bands of registers give candidate buckets. Sets of up to `SMALL` members leave too many registers empty for that: these, and those up to
-   where a partner may be that small, have bands of `BANDED` independent min-hashes, so each pair that may be linked shares one
-   kind of bands. (Empty registers of larger sets are filled from others by fixed random probes, for banding only.) Long bands first (16, then 8 registers): each member is compared with the least and the greatest id of its bucket. That
-   joins most of what belongs together, families that drift from copy to copy too, for two comparisons a row.
-3. Then bands of 4 registers, of which a pair at 80 % misses all 32 with probability 5e-8. A bucket that is one component needs
-   nothing more. In the others the members outside the bucket's largest component are compared with all members of other
-   components, 64 of them at first and 64 times as many each round, until every cross pair has been compared: nothing is capped or given up. The
-   comparison is of registers, in blocks of centers next to the member; only pairs whose collision-corrected estimate lies within 4 standard
-   errors of the threshold become rows, each once (in the first band they share).
-4. Likely pairs are confirmed on the full sets of 64-bit shingle hashes. Before the rounds of step 3 each component has tested its best
-   likely pair twice, so few components are left for them.
+2. Bands of `ROWS` registers give candidate buckets; a pair at 80 % misses all 32 with probability 5e-8. Sets of up to `SMALL` members leave
+   too many registers empty for that: these, and those up to where a partner may be that small, have bands of `BANDED` independent
+   min-hashes, so each pair that may be linked shares one kind of bands. (Empty registers of larger sets are filled from others by fixed
+   random probes, for banding only.)
+3. `homes`: a bucket's home is its least id. The buckets that one home has hold mostly the same members, so each member goes there once,
+   with its full set, and not once per bucket. A home is dealt into blocks of bounded weight; a few of its members, drawn by hash, are in every block.
+4. Inside a block (`_linked`) pairs of different components are compared: collision-corrected estimates of the registers first, all that
+   lie within 6 standard errors of the threshold then on the full sets. What leaves the task are links to the least id of each component
+   that was found, so there are fewer links than members, however many pairs are alike or nearly alike.
+5. Homes of several blocks that are still several components after that: their members outside the home's largest component meet all other members,
+   block by block. So every pair that shares a bucket has been in one task unless links already join it: nothing is capped or given up.
 
 Defined results: rows with the same doc_id count as one document, so their texts' links are joined. A row with a null doc_id is
 linked with nothing and kept. Extra columns are ignored here and passed through by `drop_near_duplicates`. Repeated rows
-share their result. An empty table gives no rows.
+share their result. An empty table gives no rows. A null text counts as empty. A text of any length is one row's work; its set takes 8 bytes a shingle.
 """
 
 from __future__ import annotations
@@ -31,19 +31,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callnet.llm.common import free_shuffles, fresh, materialize, read_table, salt, salt_mask, salts_of
+from callnet.llm.common import discard, fresh, materialize, read_table
 from callnet.operators.graph.components import component_labels
 
 REGISTERS = 256
-#: Registers that bands use, and the band lengths of the rounds.
-BANDED, LONG, SHORT = 128, (16, 8), 4
+#: Registers that bands use, and registers per band.
+BANDED, ROWS = 128, 4
 #: Sets of more members are banded by registers; values kept per set: registers, then min-hashes (zeros for larger sets).
 SMALL, WIDTH = 512, REGISTERS + BANDED
-#: Centers that travel with a row, and rounds in which components only reach for their best neighbour.
-CENTERS, REACHES = 16, 2
+#: Weight of a block; a set weighs 1 and 1 more for each `HEAVY` members. Members of a home that are in all its blocks.
+BLOCK, HEAVY, ANCHORS = 512, 256, 16
+#: Standard errors below the threshold that an estimate may lie.
+MARGIN = 6
 _HASH_BITS, _MANTISSA = 57, 10
 
 
@@ -100,7 +102,7 @@ def _probes() -> np.ndarray:
 _PROBES = _probes()
 
 
-def band_keys(regs: np.ndarray, rows: int = SHORT) -> np.ndarray:
+def band_keys(regs: np.ndarray, rows: int = ROWS) -> np.ndarray:
     """A 64-bit key for each row of registers and each band of `rows` (4, 8 or 16) registers."""
     source = regs[:, :BANDED]
     # a set so small that it misses all banded registers is banded by the others
@@ -156,9 +158,14 @@ def estimates(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> t
     return np.maximum(same - chance, 0) / np.maximum(used - chance, 1e-9), used
 
 
+def _floor(similarity: int, used: np.ndarray) -> np.ndarray:
+    """The least estimate that a pair at the threshold may have."""
+    t = similarity / 100
+    return t - MARGIN * np.sqrt(t * (1 - t) / np.maximum(used, 1))
+
+
 def likely(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, similarity: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions of the rows that may reach the similarity, their estimates). The correction lowers the raw share, so what fails by that is out."""
-    x, y = x[:, :REGISTERS], y[:, :REGISTERS]
+    """(positions of the rows of registers that may reach the similarity, their estimates). The correction lowers the raw share, so what fails by that is out."""
     same = ((x == y) & (x > 0)).sum(axis=1)
     used = ((x > 0) | (y > 0)).sum(axis=1)
     at = np.flatnonzero(same >= _floor(similarity, used) * used)
@@ -190,112 +197,39 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype="<u2").reshape(-1, WIDTH)
 
 
-def _buckets(nodes: DataFrame, rows: int, similarity: int) -> DataFrame:
-    """(key, band, id, n, regs, lo, hi, part) of all band buckets that hold several ids; lo, hi: the bucket's least and greatest id."""
+def homes(nodes: DataFrame, similarity: int) -> DataFrame:
+    """(home, id, n), distinct: the ids of each bucket that holds several, with the bucket's least id."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                keys = all_keys(_matrix(batch.column(1)), batch.column(2).to_numpy(), rows, similarity)
+                n = batch.column(2).to_numpy()
+                keys = all_keys(_matrix(batch.column(1)), n, ROWS, similarity)
                 row, band = np.nonzero(keys)
-                columns = [pa.array(keys[row, band].view(np.int64)), pa.array(band.astype(np.int32)), pa.array(batch.column(0).to_numpy()[row])]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "band", "id"])
-
-    keyed = nodes.select("id", "regs", "n").mapInArrow(spread, "key long, band int, id long").withColumn("part", salt(F.col("id")))
-    counts = keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), salt_mask(F.col("part")).alias("parts")).where("lo < hi")
-    return keyed.join(counts.select("key", "lo", "hi", F.explode(salts_of(F.col("parts"))).alias("part")), ["key", "part"])
-
-
-def _star_pairs(buckets: DataFrame) -> DataFrame:
-    """(a, b), a < b: members with the least and the greatest id of their bucket."""
-    both = buckets.select("id", F.explode(F.array("lo", "hi")).alias("c")).where("id <> c")
-    return both.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b"))
+                columns = [pa.array(keys[row, band].view(np.int64)), pa.array(batch.column(0).to_numpy()[row]), pa.array(n[row])]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "id", "n"])
 
+    keyed = nodes.select("id", "regs", "n").mapInArrow(spread, "key long, id long, n long")
+    # plain joins on the key: adaptive execution splits a bucket that holds too many rows
+    shared = keyed.groupBy("key").agg(F.min("id").alias("home"), F.max("id").alias("last")).where("home < last").select("key", "home")
+    return keyed.join(shared, "key").select("home", "id", "n").distinct()
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs whose ends are in different components, with the components la <= lb."""
-    l, r = (labels.select(F.col("id").alias(x), F.col("label").alias(f"l_{x}")) for x in "ab")
-    return pairs.join(l, "a").join(r, "b").where("l_a <> l_b").withColumns({"la": F.least("l_a", "l_b"), "lb": F.greatest("l_a", "l_b")}).drop("l_a", "l_b")
 
+def _weight() -> object:
+    return 1 + F.floor(F.col("n") / HEAVY)
 
-def _floor(similarity: int, used: np.ndarray) -> np.ndarray:
-    """The least estimate that a pair at the threshold may have."""
-    t = similarity / 100
-    return t - 4 * np.sqrt(t * (1 - t) / np.maximum(used, 1))
 
+def _sized(members: DataFrame) -> DataFrame:
+    """members (home, id, n, ..) with c, the home's rows, and blocks, into how many it is dealt."""
+    totals = members.groupBy("home").agg(F.count(F.lit(1)).alias("c"), F.sum(_weight()).alias("w"))
+    return members.join(totals.select("home", "c", F.ceil(F.col("w") / BLOCK).cast("int").alias("blocks")), "home")
 
-def _estimated(pairs: DataFrame, nodes: DataFrame, similarity: int) -> DataFrame:
-    """(a, b, estimate) of the pairs that may reach the similarity."""
-    side = nodes.select("id", "n", "regs")
-    a, b = (side.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"r_{x}")) for x in "ab")
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                at, got = likely(_matrix(batch.column(4)), _matrix(batch.column(5)), batch.column(2).to_numpy(), batch.column(3).to_numpy(), similarity)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(got)], names=["a", "b", "estimate"])
-
-    sized = pairs.join(a, "a").join(b, "b").where(100 * F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b"))
-    return sized.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(keep, "a long, b long, estimate double").distinct()
-
-
-def _pending(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of the buckets that aren't one component, with their label and `main`, the label that most of the bucket's rows have."""
-    rows = buckets.select("key", "part", "band", "id").join(labels, "id")
-    per = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"), salt_mask(F.col("part")).alias("m"))
-    top = per.groupBy("key").agg(F.count(F.lit(1)).alias("n_labels"), F.max(F.struct("c", "label")).alias("top"), F.bit_or("m").alias("parts"))
-    top = top.where("n_labels > 1").select("key", F.col("top.label").alias("main"), F.explode(salts_of(F.col("parts"))).alias("part"))
-    return rows.join(top, ["key", "part"])
-
-
-def _ranked(rows: DataFrame, most: int) -> DataFrame:
-    """The first `most` rows of each bucket by id, in two steps so that no task sorts a whole bucket; rank counts from 1."""
-    best = rows.withColumn("rank", F.row_number().over(Window.partitionBy("key", "part").orderBy("id"))).where(F.col("rank") <= most)
-    return best.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("id"))).where(F.col("rank") <= most)
-
-
-def _likely_in_buckets(pending: DataFrame, nodes: DataFrame, most: int, similarity: int, best: bool = False) -> DataFrame:
-    """(a, b, estimate) of pairs of a center (one of the first `most` outside its bucket's main component) and a member of another component; best: of each member only its best pair per row."""
-    side = nodes.select("id", "n", "regs")
-    centers = _ranked(pending.where("label <> main").select("key", "part", "id", "label"), most)
-    centers = centers.join(side, "id").groupBy("key", ((F.col("rank") - 1) / CENTERS).cast("int").alias("block")).agg(F.collect_list(F.struct("id", "label", "n", "regs")).alias("centers"))
-    members = pending.select("key", "part", "band", "id", "label").join(side, "id")
-    # a block of centers goes to the parts that its bucket has
-    parts = pending.groupBy("key").agg(salt_mask(F.col("part")).alias("parts"))
-    dealt = centers.join(parts, "key").select("key", "centers", F.explode(salts_of(F.col("parts"))).alias("part"))
-    rows = members.join(dealt, ["key", "part"]).select("band", "id", "label", "n", "regs", "centers")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                band, own, label, n = (batch.column(i).to_numpy() for i in range(4))
-                regs = _matrix(batch.column(4))
-                lists = batch.column(5)
-                flat = lists.flatten()
-                size = np.diff(lists.offsets.to_numpy())
-                row = np.repeat(np.arange(batch.num_rows), size)
-                c_id, c_label, c_n = (flat.field(i).to_numpy() for i in range(3))
-                big, small = np.maximum(n[row], c_n), np.minimum(n[row], c_n)
-                ok = np.flatnonzero((label[row] != c_label) & (100 * small >= similarity * big))
-                if not len(ok):
-                    continue
-                c_regs = _matrix(flat.field(3).take(pa.array(ok)))
-                row, c_id, c_n = row[ok], c_id[ok], c_n[ok]
-                good, got = likely(regs[row], c_regs, n[row], c_n, similarity)
-                if not len(good):
-                    continue
-                row, c_id, c_regs = row[good], c_id[good], c_regs[good]
-                if best:
-                    order = np.lexsort((-got, row))
-                    first = order[np.append(True, np.diff(row[order]) > 0)]
-                else:  # a pair is made in the first band that it shares
-                    own_keys, c_keys = all_keys(regs[row], n[row], SHORT, similarity), all_keys(c_regs, c_n[good], SHORT, similarity)
-                    first = np.flatnonzero(((own_keys == c_keys) & (own_keys != 0)).argmax(axis=1) == band[row])
-                a, b = np.minimum(own[row], c_id)[first], np.maximum(own[row], c_id)[first]
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(got[first])], names=["a", "b", "estimate"])
-
-    return rows.mapInArrow(compare, "a long, b long, estimate double").distinct()
+def _dealt(sized: DataFrame) -> DataFrame:
+    """(home, at, id, n): each member in its block, the home and some `ANCHORS` others in all."""
+    anchor = (F.col("id") == F.col("home")) | (F.pmod(F.xxhash64(F.lit("anchor"), "id"), "c") < ANCHORS)
+    own = F.array(F.pmod(F.xxhash64("home", "id"), F.col("blocks")).cast("int"))
+    return sized.select("home", F.explode(F.when(anchor, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(own)).alias("at"), "id", "n")
 
 
 def _full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -313,120 +247,111 @@ def _full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return wanted.select("id", "text").mapInArrow(collect, "id long, members binary")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """The pairs whose full sets reach the similarity. The id that occurs in more pairs is salted by the other."""
+def _linked(label: np.ndarray, sets: list[np.ndarray], similarity: int, first: np.ndarray, second: np.ndarray) -> list[tuple[int, int]]:
+    """[(a, b)], a < b: links to the least label of each component that pairs of a first and a second row make of labels.
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = np.zeros(batch.num_rows, dtype=bool)
-            for i in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(c)[i].as_py(), dtype="<u8") for c in (2, 3))
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                ok[i] = both > 0 and 100 * both >= similarity * (len(x) + len(y) - both)
-            yield batch.select([0, 1]).filter(pa.array(ok))
-
-    uses = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).groupBy("id").count()
-    ua, ub = (uses.select(F.col("id").alias(x), F.col("count").alias(f"u_{x}")) for x in "ab")
-    turned = pairs.join(ua, "a").join(ub, "b").select(F.when(F.col("u_a") >= F.col("u_b"), F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(F.col("u_a") >= F.col("u_b"), F.col("b")).otherwise(F.col("a")).alias("leaf"))
-    turned = turned.withColumn("part", salt(F.col("leaf")))
-    leaves = turned.join(sets.select(F.col("id").alias("leaf"), F.col("members").alias("y")), "leaf")
-    hubs = turned.select("hub", "part").distinct().join(sets.select(F.col("id").alias("hub"), F.col("members").alias("x")), "hub")
-    both = leaves.join(hubs, ["hub", "part"]).select(F.col("hub").alias("a"), F.col("leaf").alias("b"), "x", "y")
-    return both.mapInArrow(keep, "a long, b long")
-
-
-class _Linker:
-    """Links found so far and the components that they make of `ids`."""
-
-    def __init__(self, docs: DataFrame, nodes: DataFrame, k: int, similarity: int):
-        self.docs, self.nodes, self.k, self.similarity = docs, nodes, k, similarity
-        self.spark = docs.sparkSession
-        self.links = self.tested = self.spark.createDataFrame([], "a long, b long")
-        self.labels = nodes.select("id", F.col("id").alias("label")).distinct()
-        self._sets = None
-
-    def _members(self, ids: DataFrame) -> DataFrame:
-        """Full sets; read once for all ids that any bucket holds."""
-        if self._sets is None:
-            self._sets = materialize(_full_sets(self.docs, ids, self.k), "sets")
-            free_shuffles(self.spark)
-        return self._sets
-
-    def verify(self, pairs: DataFrame, ids: DataFrame) -> bool:
-        """Test the pairs (a, b) on full sets; whether any is a link."""
-        self.tested = self.tested.union(pairs.select("a", "b"))
-        new = materialize(_verified(pairs.select("a", "b"), self._members(ids), self.similarity).distinct(), "links")
-        if not new.limit(1).count():
-            return False
-        self.links = self.links.union(new)
-        found = component_labels(self.links)
-        self.labels = materialize(self.nodes.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("label", "id").alias("label")), "labels")
-        free_shuffles(self.spark)
-        return True
-
-    def _open(self, offers: DataFrame) -> DataFrame:
-        return _apart(offers.join(self.tested, ["a", "b"], "left_anti"), self.labels)
-
-    def join_best(self, offers: DataFrame, ids: DataFrame) -> bool:
-        """Test the best offer of each component; whether components were joined."""
-        pairs = self._open(offers)
-        sides = pairs.select(F.col("la").alias("l"), "estimate", "a", "b").union(pairs.select("lb", "estimate", "a", "b"))
-        chosen = materialize(sides.groupBy("l").agg(F.max(F.struct("estimate", "a", "b")).alias("best")).select("best.a", "best.b").distinct(), "best")
-        return bool(chosen.limit(1).count()) and self.verify(chosen, ids)
-
-    def confirm(self, offers: DataFrame, ids: DataFrame) -> None:
-        """Test all offers that lie in different components."""
-        pairs = materialize(self._open(offers).select("a", "b"), "rest")
-        if pairs.limit(1).count():
-            self.verify(pairs, ids)
-
-
-def _link(docs: DataFrame, nodes: DataFrame, k: int, similarity: int) -> _Linker:
-    """With all links that matter to the components."""
-    linker = _Linker(docs, nodes, k, similarity)
-    short = materialize(_buckets(nodes, SHORT, similarity), "buckets")
-    ids = short.select("id").distinct()
-    shared = nodes.join(ids, "id", "left_semi")
-    stars = _star_pairs(_buckets(shared, LONG[0], similarity))
-    for rows in LONG[1:]:
-        stars = stars.union(_star_pairs(_buckets(shared, rows, similarity)))
-    linker.verify(materialize(_estimated(stars.distinct(), nodes, similarity), "likely"), ids)
-    # each component reaches for its best neighbour first, so that what drifts apart slowly is joined before all cross pairs are looked at
-    joined, most = 0, 64
-    while True:
-        pending = materialize(_pending(short, linker.labels), "pending")
-        longest = pending.where("label <> main").groupBy("key").count().agg(F.max("count")).first()[0]
-        if longest is None:
-            return linker
-        if joined < REACHES:
-            offers = _likely_in_buckets(pending, nodes, CENTERS, similarity, best=True)
-            joined = joined + 1 if linker.join_best(offers, ids) else REACHES
+    A row of `first` is compared with the rows of `second` that aren't in its component yet. Rows of equal labels are one component.
+    """
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    regs = registers(sets)
+    start = np.cumsum(sizes) - sizes
+    distinct, flat = np.unique(np.concatenate(sets), return_inverse=True) if len(sets) else (np.empty(0), np.empty(0, np.int64))
+    mine = np.zeros(len(distinct), dtype=bool)
+    group = label.copy()  # the least label of the component found so far
+    for i in np.flatnonzero(first).tolist():
+        other = np.flatnonzero(second & (group != group[i]) & (100 * np.minimum(sizes, sizes[i]) >= similarity * np.maximum(sizes, sizes[i])))
+        if not len(other):
+            continue
+        other = other[likely(regs[other], np.broadcast_to(regs[i], (len(other), REGISTERS)), sizes[other], np.full(len(other), sizes[i]), similarity)[0]]
+        if not len(other):
             continue
-        linker.confirm(_likely_in_buckets(pending, nodes, most, similarity), ids)
-        if longest <= most:  # every member outside was a center: all cross pairs have been compared
-            return linker
-        most *= 64
+        own = flat[start[i] : start[i] + sizes[i]]
+        mine[own] = True
+        take = np.repeat(start[other] - (np.cumsum(sizes[other]) - sizes[other]), sizes[other]) + np.arange(int(sizes[other].sum()))
+        both = np.add.reduceat(mine[flat[take]], np.cumsum(sizes[other]) - sizes[other], dtype=np.int64)
+        mine[own] = False
+        for c in np.unique(group[other[100 * both >= similarity * (sizes[i] + sizes[other] - both)]]).tolist():
+            low, high = min(c, int(group[i])), max(c, int(group[i]))
+            group[group == high] = low
+    moved = np.flatnonzero(group != label)
+    return sorted(set(zip(group[moved].tolist(), label[moved].tolist(), strict=True)))
+
+
+def _sets_of(table: pa.Table) -> list[np.ndarray]:
+    return [np.frombuffer(x, dtype="<u8").astype(np.uint64) for x in table.column("members").to_pylist()]
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+
+def _links_within(dealt: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """(a, b) links from the pairs inside each block."""
+
+    def link(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
+        all_ = np.ones(table.num_rows, dtype=bool)
+        return _pairs(_linked(table.column("id").to_numpy(), _sets_of(table), similarity, all_, all_))
+
+    return dealt.select("home", "at", "id").join(sets, "id").groupBy("home", "at").applyInArrow(link, "a long, b long")
+
+
+def _pending(sized: DataFrame, labels: DataFrame) -> DataFrame:
+    """(home, id, n, label, out) of homes of several blocks and several components; out: not of the home's largest component."""
+    rows = sized.where("blocks > 1").select("home", "id", "n").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    per = rows.groupBy("home", "label").agg(F.count(F.lit(1)).alias("c"))
+    main = per.groupBy("home").agg(F.count(F.lit(1)).alias("n_labels"), F.max(F.struct("c", "label")).alias("top")).where("n_labels > 1")
+    return rows.join(main.select("home", F.col("top.label").alias("main")), "home").select("home", "id", "n", "label", (F.col("label") != F.col("main")).alias("out"))
+
+
+def _links_across(pending: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """(a, b) links between the members outside of a home's largest component and all its members, each block with each."""
+    sized = _sized(pending).withColumn("j", F.pmod(F.xxhash64("home", "id"), F.col("blocks")).cast("int")).drop("c")
+    blocks = pending.where("out").groupBy("home").agg(F.ceil(F.sum(_weight()) / BLOCK).cast("int").alias("p"))
+    rows = sized.join(blocks, "home").withColumn("i", F.pmod(F.xxhash64(F.lit("out"), "id"), F.col("p")).cast("int"))
+    # a member goes to its block with each block of outsiders; an outsider also to its own with each block of members
+    left = rows.where("out").select("home", "i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), "id", "label", "out", F.lit(True).alias("left"))
+    right = rows.select("home", F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("i"), "j", "id", "label", "out", F.lit(False).alias("left"))
+
+    def link(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
+        left = table.column("left").to_numpy()
+        return _pairs(_linked(table.column("label").to_numpy(), _sets_of(table), similarity, left, ~left))
+
+    return left.union(right).join(sets, "id").groupBy("home", "i", "j").applyInArrow(link, "a long, b long")
+
+
+def _labels(docs: DataFrame, nodes: DataFrame, ties: DataFrame, k: int, similarity: int) -> DataFrame:
+    """(id, label) of all ids that have a link; ties: further links (a, b)."""
+    shared = materialize(homes(nodes, similarity), "homes")
+    sets = materialize(_full_sets(docs, shared.select("id").distinct(), k), "sets")
+    sized = _sized(shared)
+    links = materialize(_links_within(_dealt(sized), sets, similarity).union(ties).distinct(), "links")
+    labels = materialize(component_labels(links), "labels")
+    pending = materialize(_pending(sized, labels), "pending")
+    if pending.limit(1).count():
+        more = materialize(links.union(_links_across(pending, sets, similarity)).distinct(), "links")
+        before, labels = labels, materialize(component_labels(more), "labels")
+        discard(before, more)
+    discard(shared, sets, links, pending)
+    return labels
 
 
 def near_duplicate_groups(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs."""
-    spark = docs.sparkSession
     signed = materialize(signatures(docs, k, similarity), "signatures")
-    # One node per set; sets of one doc_id are one node with several rows.
+    # one node per set
     present = signed.where("node IS NOT NULL AND doc_id IS NOT NULL")
     nodes = materialize(present.groupBy("node").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs")), "nodes")
-    linker = _link(docs, nodes, k, similarity)
-    found = linker.labels
-    # a doc_id with several texts can tie sets together: then what equal sets share are links too
-    several = present.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    if several.limit(1).count():
-        same = present.join(nodes.select("node", "id"), "node").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-        found = component_labels(linker.links.union(same))
-    out = signed.select("doc_id", "n_shingles", "node").join(nodes.select("node", "id"), "node", "left")
-    out = out.join(found.select("id", "label"), "id", "left")
-    least = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("label", "id", "doc_id"))
-    free_shuffles(spark)
-    return out.select("doc_id", "n_shingles", least.cast("long").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # a doc_id with several texts ties their sets together
+    several = present.groupBy("doc_id").agg(F.min(F.xxhash64("node")).alias("x"), F.max(F.xxhash64("node")).alias("y")).where("x <> y").select("doc_id")
+    ties = present.select("doc_id", "node").join(several, "doc_id").join(nodes.select("node", "id"), "node").where("doc_id <> id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
+    labels = _labels(docs, nodes, ties, k, similarity)
+    least = nodes.select("node", "id").join(labels, "id", "left").select("node", F.coalesce("label", "id").alias("label"))
+    out = signed.select("doc_id", "n_shingles", "node").join(least, "node", "left")
+    # (of a null doc_id nothing is known but its own set)
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id")).cast("long")
+    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, similarity: int = 80) -> DataFrame:

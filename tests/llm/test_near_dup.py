@@ -100,9 +100,9 @@ def test_pairs_at_the_threshold_share_a_band(both, one, other):
         sets = [np.unique(p[:n]) for p in pools] + [np.unique(np.append(p[:both], p[n:])) for p in pools]
         rows = np.concatenate([near_dup.registers(sets), near_dup.min_hashes(sets, most)], axis=1)
         sizes = np.repeat([n, m], 300)
-        keys = near_dup.all_keys(rows, sizes, near_dup.SHORT, 80)
+        keys = near_dup.all_keys(rows, sizes, near_dup.ROWS, 80)
         assert ((keys[:300] == keys[300:]) & (keys[:300] != 0)).any(axis=1).all()
-        assert len(near_dup.likely(rows[:300], rows[300:], sizes[:300], sizes[300:], 80)[0]) == 300
+        assert len(near_dup.likely(rows[:300, : near_dup.REGISTERS], rows[300:, : near_dup.REGISTERS], sizes[:300], sizes[300:], 80)[0]) == 300
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -115,3 +115,34 @@ def test_short_pairs_at_the_threshold_against_brute_force(documents, seed):
         texts += [" ".join(t), " ".join([*t, "end"])]
     got = near_dup.near_duplicate_groups(documents(texts), 4, 80).collect()
     assert {r.doc_id: r.component_id for r in got} == {i: i - i % 2 for i in range(len(texts))}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_homes_of_many_blocks_against_brute_force(documents, monkeypatch, seed):
+    """Families, and a group whose members lie just under the threshold, over blocks of a few members."""
+    monkeypatch.setattr(near_dup, "BLOCK", 6)
+    monkeypatch.setattr(near_dup, "ANCHORS", 1)
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(80)]
+    texts = corpus(seed)
+    for _ in range(60):
+        copy = list(base)
+        for _ in range(rng.choice([1, 2, 2, 2])):
+            copy[rng.randrange(80)] = f"x{rng.random()}"
+        texts.append(" ".join(copy))
+    got = near_dup.near_duplicate_groups(documents(texts), 4, 80).collect()
+    want = brute(list(enumerate(texts)), 4, 80)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    assert len({c for _, c in want.values()}) > 30
+
+
+def test_links_are_a_forest():
+    """Of a block of pairs that are all linked, and of one in which none is."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 100).astype(np.uint64)
+    near = [np.unique(np.append(base[rng.permutation(100)[:97]], rng.integers(0, 1 << 63, 1).astype(np.uint64))) for _ in range(50)]
+    far = [np.unique(np.append(base[rng.permutation(100)[:82]], rng.integers(0, 1 << 63, 12).astype(np.uint64))) for _ in range(50)]
+    label, all_ = np.arange(50), np.ones(50, dtype=bool)
+    assert near_dup._linked(label, near, 80, all_, all_) == [(0, i) for i in range(1, 50)]
+    assert near_dup._linked(label, far, 80, all_, all_) == []
+    assert near_dup._linked(label, far[:1] * 50, 80, label < 1, label >= 1) == [(0, i) for i in range(1, 50)]
