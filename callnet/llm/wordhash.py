@@ -61,7 +61,7 @@ class Block:
     start: np.ndarray
     end: np.ndarray
     words: np.ndarray
-    prefix: np.ndarray | None = None
+    prefix: np.ndarray
 
     def doc_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(self.last - self.first), np.diff(self.words))
@@ -92,7 +92,7 @@ def word_blocks(column: pa.Array, words: str = "blank") -> Iterator[Block]:
         n = len(data)
         if not n:
             e = np.empty(0, np.int64)
-            yield Block(first, last, data, offsets, e.astype(np.uint64), e, e, np.zeros(last - first + 1, np.int64))
+            yield Block(first, last, data, offsets, e.astype(np.uint64), e, e, np.zeros(last - first + 1, np.int64), np.zeros(1, np.uint64))
             continue
         inside = ~gap[data]
         head = np.zeros(n + 1, dtype=bool)

@@ -360,21 +360,107 @@ def test_toxicity_learns_held_out_words(spark, documents):
     assert kept.columns == docs.columns and 520 < kept.count() < 590
 
 
+def blocks(texts):
+    from callnet.llm.wordhash import word_blocks
+
+    return list(word_blocks(pa.array(texts, pa.string()), "alnum"))
+
+
+def small_model(rng, offset=0.1):
+    filters = [rng.normal(0, 0.4, (w, toxicity.DIM, toxicity.FILTERS)).astype(np.float32) for w in toxicity.WIDTHS]
+    bias = [rng.normal(0, 0.1, toxicity.FILTERS).astype(np.float32) for _ in toxicity.WIDTHS]
+    out = rng.normal(0, 0.5, toxicity.FILTERS * len(toxicity.WIDTHS)).astype(np.float32)
+    return toxicity.Model(rng.normal(0, 0.4, (toxicity.CELLS, toxicity.DIM)).astype(np.float32), filters, bias, out, offset)
+
+
 def test_gradients_agree_with_differences():
-    """One step of training lowers the loss on its own batch; pooling and scores agree for any blocking."""
+    """Central differences of the loss by numbers of every parameter."""
+    rng, words = np.random.default_rng(12), random.Random(12)
+    model = small_model(rng)
+    (block,) = blocks([prose(words, n) for n in (1, 2, 7, 12)])
+    cells, y = toxicity.features(block), np.array([1, 0, 1, 0], dtype=np.float32)
+    for name in ("embedding", "out"):  # differences need more digits than training does
+        setattr(model, name, getattr(model, name).astype(np.float64))
+    model.filters, model.bias = [f.astype(np.float64) for f in model.filters], [b.astype(np.float64) for b in model.bias]
+
+    def loss():
+        total = 0.0
+        for d in range(4):
+            own = cells[block.words[d] : block.words[d + 1]]
+            p = plain_score(model, own)
+            total -= np.log(p if y[d] else 1 - p) / 4
+        return total
+
+    grads, g_offset = toxicity.gradients(model, cells, block.words, y)
+    checked = 0
+    for q, g in zip(model.parameters(), grads, strict=True):
+        at = np.argwhere(g != 0)
+        for i in [tuple(x) for x in at[rng.permutation(len(at))[:6]]]:
+            keep, step = q[i], 1e-5
+            q[i] = keep + step
+            up = loss()
+            q[i] = keep - step
+            down = loss()
+            q[i] = keep
+            assert (up - down) / (2 * step) == pytest.approx(g[i], rel=2e-2, abs=2e-5)
+            checked += 1
+    model.offset += 1e-5
+    up = loss()
+    model.offset -= 2e-5
+    assert (up - loss()) / 2e-5 == pytest.approx(g_offset, rel=1e-2, abs=1e-5)
+    assert checked > 40
+
+
+def plain_score(model, cells):
+    """The forward pass of one text, window by window."""
+    x = [sum(model.embedding[c] for c in word) for word in cells.tolist()]
+    value = model.offset
+    for j, w in enumerate(toxicity.WIDTHS):
+        for k in range(toxicity.FILTERS):
+            best = 0.0
+            for i in range(len(x) - w + 1):
+                best = max(best, sum(float(x[i + s] @ model.filters[j][s][:, k]) for s in range(w)) + float(model.bias[j][k]))
+            value += best * float(model.out[j * toxicity.FILTERS + k])
+    return 1 / (1 + np.exp(-value))
+
+
+def test_scores_against_a_plain_forward_pass():
+    model, rng = small_model(np.random.default_rng(4)), random.Random(4)
+    texts = [prose(rng, n) for n in (1, 2, 3, 20, 0, 9)] + ["", None]
+    got = np.concatenate([toxicity.score_block(model, b) for b in blocks(texts)])
+    want = [plain_score(model, toxicity.features(next(iter(blocks([t]))))) for t in texts]
+    assert got == pytest.approx(want, abs=1e-4)
+
+
+def test_blocks_do_not_matter_and_training_fits():
     rng = random.Random(12)
     texts = [prose(rng, 30) + (" awful" if i % 2 else "") for i in range(60)]
     model = toxicity.train(texts, [i % 2 for i in range(60)], [None] * 60)
-    from callnet.llm.wordhash import word_blocks
-
-    together = np.concatenate([toxicity.score_block(model, b) for b in word_blocks(pa.array(texts), "alnum")])
-    single = [toxicity.score_block(model, next(iter(word_blocks(pa.array([t]), "alnum"))))[0] for t in texts]
+    together = np.concatenate([toxicity.score_block(model, b) for b in blocks(texts)])
+    single = [toxicity.score_block(model, blocks([t])[0])[0] for t in texts]
     assert together == pytest.approx(single, abs=1e-5)
     assert np.mean((together >= 0.3) == np.array([i % 2 for i in range(60)])) > 0.95
 
 
+def test_thresholds_by_language_and_long_training_texts(spark, documents):
+    model = small_model(np.random.default_rng(5))
+    model.threshold, model.by_language = 0.6, {"en": 0.2, "": 0.4}
+    rows = spark.createDataFrame([(0.3, "en"), (0.3, None), (0.3, ""), (0.5, "de"), (0.7, "de"), (0.45, None)], "toxicity_score double, lang string")
+    assert [r[0] for r in rows.select(toxicity.flag(rows, model)).collect()] == [True, False, False, False, True, True]
+    assert [model.threshold_of(x) for x in ("en", None, "", "de")] == [0.2, 0.4, 0.4, 0.6]
+    # one text beyond the bounds leaves the others to train on; a table without lang works; repeated ids count once
+    texts = ["x " * 400] + ["bad word" if i % 2 else "fine word" for i in range(1, 60)]
+    docs = documents([*texts, "bad twice"], [*range(60), 3]).drop("lang")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    fitted = toxicity.fit(docs, labels, max_train=60, max_bytes=600, max_text=700)
+    assert fitted.constant is None
+    kept = toxicity.drop_toxic(docs, fitted)
+    assert kept.columns == docs.columns and kept.where("text = 'fine word'").count() == 29 and kept.where("text = 'bad word'").count() == 0
+
+
 def test_toxicity_without_both_classes(spark, documents):
     docs = documents(["a b", "c"], **CLASH)
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r[0] for r in toxicity.score(docs, toxicity.fit(docs, none)).select("_toxicity_score").collect()} == {0.5}
     assert toxicity.score(documents([]), toxicity.fit(docs, none)).count() == 0
+    assert toxicity.drop_toxic(docs, toxicity.fit(docs, none)).count() == 2
