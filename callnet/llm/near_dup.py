@@ -243,7 +243,8 @@ def _full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
                 sets = [s.astype("<u8").tobytes() for s in shingle_sets(block, k)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, len(sets)), pa.array(sets, pa.binary())], names=["id", "members"])
 
-    wanted = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
+    # a shuffle of the texts whatever the size of ids, which grow with the documents
+    wanted = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids.hint("merge"), "id", "left_semi")
     return wanted.select("id", "text").mapInArrow(collect, "id long, members binary")
 
 
