@@ -69,12 +69,13 @@ def boundaries(data: np.ndarray, offsets: np.ndarray, begins: np.ndarray | None
         width *= 2
     cut = (h & _MASK) == 0
     # the hash starts anew with each document: near its beginning it is that of the fewer bytes
-    for a, b in zip(head.tolist(), offsets[1:].tolist(), strict=True):
-        x = 0
-        for i in range(a, min(a + 15, b)):
-            x = ((x << 1) + int(GEAR[data[i]])) & 0xFFFFFFFF
-            cut[i] = not x & int(_MASK)
-            h[i] = x
+    x, size = np.zeros(len(head), dtype=np.uint32), np.diff(offsets)
+    for j in range(15):
+        on = np.flatnonzero(size > j)
+        at = head[on] + j
+        x[on] = (x[on] << np.uint32(1)) + GEAR[data[at]]
+        h[at] = x[on]
+        cut[at] = x[on] & _MASK == 0
     cut[offsets[1:][offsets[1:] > head] - 1] = True
     if begins is not None:
         cut[word_cuts(h, begins, offsets) - 1] = True
@@ -92,7 +93,7 @@ def chunks(docs: DataFrame) -> DataFrame:
     schema = "doc_id long, th long, pos int, start long, size int, words int, h long"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from callnet.llm.wordhash import _BLANK, _power, byte_blocks, mix
+        from callnet.llm.wordhash import _BLANK, byte_blocks, mix, polynomials
 
         for batch in batches:
             for first, _, data, offsets in byte_blocks(batch.column(2)):
@@ -104,14 +105,12 @@ def chunks(docs: DataFrame) -> DataFrame:
                 ends = boundaries(data, offsets, begins)
                 starts = np.append(0, ends[:-1])
                 doc = np.searchsorted(offsets, starts, side="right") - 1
-                words = np.append(0, np.cumsum(begins))
-                power, inverse = _power(len(data))
-                total = np.append(np.zeros(1, np.uint64), np.cumsum(mix(data.astype(np.uint64) + np.uint64(1)) * power))
-                digest = mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+                words = np.diff(np.searchsorted(np.flatnonzero(begins), np.append(0, ends)))
+                digest = mix(polynomials(data, starts, ends, mix(np.arange(1, 257, dtype=np.uint64))) + (ends - starts).astype(np.uint64))
                 own = np.searchsorted(doc, np.arange(len(offsets)))
                 pos = np.arange(len(doc)) - own[doc]
                 rows = pa.array(first + doc)
-                columns = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(pos.astype(np.int32)), pa.array(starts - offsets[doc]), pa.array((ends - starts).astype(np.int32)), pa.array((words[ends] - words[starts]).astype(np.int32))]
+                columns = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(pos.astype(np.int32)), pa.array(starts - offsets[doc]), pa.array((ends - starts).astype(np.int32)), pa.array(words.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(digest.view(np.int64))], names=["doc_id", "th", "pos", "start", "size", "words", "h"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")

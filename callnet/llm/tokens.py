@@ -15,8 +15,10 @@ import numpy as np
 import pyarrow as pa
 
 from callnet.llm.bpe import ManyWords, spread
-from callnet.llm.wordhash import _power, byte_blocks, mix
+from callnet.llm.wordhash import BLOCK, byte_blocks, mix, polynomials
 
+#: Bytes from which on a word goes to the library, whose merging takes n log n steps.
+LONG_WORD = 2000
 #: Words whose ids a worker keeps, about 40 bytes each; beyond that it starts anew.
 KNOWN_WORDS = 500_000
 
@@ -95,13 +97,10 @@ class BatchTokenizer:
         start, end = start[real], end[real]
         if not len(start):
             return np.empty(0, np.uint32), np.zeros(len(offsets), np.int64)
-        power, inverse = _power(n)
-        total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((low.astype(np.uint64) + np.uint64(1)) * power, out=total[1:])
         # length and kind are mixed on their own: added to the polynomial they would make keys of neighbouring bytes equal
-        h = mix((total[end] - total[start]) * inverse[start] ^ mix(((end - start).astype(np.uint64) << np.uint64(3)) | kind[start]))
+        h = mix(polynomials(low, start, end) ^ mix(((end - start).astype(np.uint64) << np.uint64(3)) | kind[start]))
         distinct, at, back = np.unique(h, return_index=True, return_inverse=True)
-        strange = kind[start[at]] == _ODD
+        strange = (kind[start[at]] == _ODD) | (end[at] - start[at] > LONG_WORD)
         plain = np.flatnonzero(~strange)
         size = np.zeros(len(at), dtype=np.int64)
         where = np.zeros(len(at), dtype=np.int64)
@@ -122,11 +121,25 @@ class BatchTokenizer:
             if not len(data):
                 yield from (np.empty(0, np.uint32) for _ in range(last - first))
                 continue
+            if last == first + 1 and len(data) > 2 * BLOCK:
+                yield np.concatenate([self._block(x, np.array([0, len(x)]))[0] for x in _stretches(data)])
+                continue
             ids, bounds = self._block(data, offsets)
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 yield ids[a:b]
 
 
+def _stretches(data: np.ndarray) -> Iterator[np.ndarray]:
+    """One long text in parts of about `BLOCK` bytes that end at blanks; ids go on over a blank as if it weren't there."""
+    blanks = np.flatnonzero(_CLASS[data] == _SPACE)
+    at = 0
+    while at < len(data):
+        k = int(np.searchsorted(blanks, at + BLOCK))
+        stop = int(blanks[k]) + 1 if k < len(blanks) else len(data)
+        yield data[at:stop]
+        at = stop
+
+
 _loaded: dict[str, BatchTokenizer] = {}
 
 

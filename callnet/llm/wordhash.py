@@ -3,7 +3,8 @@
 Two definitions of a word: "blank" words are maximal runs of `[^\\x20\\x09-\\x0D]`; "alnum" words are maximal runs of
 ASCII letters, digits and bytes from 0x80 up. A-Z is lower-cased first, nothing else is changed. Hashes are the same in every process.
 
-Work goes block by block: a block holds whole documents, about `BLOCK` bytes, more only if a single document is longer.
+Work goes block by block: a block holds whole documents, about `BLOCK` bytes, more only if a single document is longer. Arrays of several
+bytes per byte of text are made for stretches of `BLOCK` bytes at a time, so a very long text takes little more than its size and its words'.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 2 << 20
+BLOCK = 512 << 10
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INV = pow(_P, -1, 1 << 64)
 
@@ -26,18 +27,17 @@ _NOT_ALNUM = np.ones(256, dtype=bool)
 _NOT_ALNUM[48:58] = _NOT_ALNUM[65:91] = _NOT_ALNUM[97:123] = _NOT_ALNUM[128:] = False
 GAPS = {"blank": _BLANK, "alnum": _NOT_ALNUM}
 
-_powers: dict[str, np.ndarray] = {}
+_powers: list[np.ndarray] = []
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse modulo 2**64."""
-    if "p" not in _powers or len(_powers["p"]) < n:
-        size = max(n, BLOCK + 1024)
-        for key, base in (("p", _P), ("q", _P_INV)):
-            x = np.full(size, base, dtype=np.uint64)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of the base and of its inverse modulo 2**64; n: how many are needed, `BLOCK` at most."""
+    if not _powers:
+        for base in (_P, _P_INV):
+            x = np.full(BLOCK, base, dtype=np.uint64)
             x[0] = 1
-            _powers[key] = np.multiply.accumulate(x)
-    return _powers["p"][:n], _powers["q"]
+            _powers.append(np.multiply.accumulate(x))
+    return _powers[0][:n], _powers[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -49,6 +49,40 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: What a byte counts in a polynomial.
+_PLUS_ONE = np.arange(1, 257, dtype=np.uint64)
+
+
+def _polynomial(data: np.ndarray, value: np.ndarray) -> int:
+    """The sum of value[byte] * base ** position of one word of any length."""
+    total = 0
+    for at in range(0, len(data), BLOCK):
+        part = data[at : at + BLOCK]
+        total += int((value[part] * powers(len(part))[0]).sum(dtype=np.uint64)) * pow(_P, at, 1 << 64)
+    return total % (1 << 64)
+
+
+def polynomials(data: np.ndarray, start: np.ndarray, end: np.ndarray, value: np.ndarray = _PLUS_ONE) -> np.ndarray:
+    """The polynomial hash of each word data[start:end]; words are in order and don't overlap."""
+    out = np.empty(len(start), dtype=np.uint64)
+    i = 0
+    while i < len(start):
+        base = int(start[i])
+        j = int(np.searchsorted(end, base + BLOCK, side="right"))
+        if j <= i:
+            out[i] = _polynomial(data[base : end[i]], value)
+            i += 1
+            continue
+        a, b = start[i:j] - base, end[i:j] - base
+        n = int(b[-1])
+        power, inverse = powers(n)
+        total = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(value[data[base : base + n]] * power, out=total[1:])
+        out[i:j] = (total[b] - total[a]) * inverse[a]
+        i = j
+    return out
+
+
 @dataclass
 class Block:
     """Documents [first, last) of a batch. Word i has hash[i] and bytes [start[i], end[i]) of data; document d has the words [words[d], words[d + 1])."""
@@ -61,7 +95,6 @@ class Block:
     start: np.ndarray
     end: np.ndarray
     words: np.ndarray
-    prefix: np.ndarray
 
     def doc_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(self.last - self.first), np.diff(self.words))
@@ -92,7 +125,7 @@ def word_blocks(column: pa.Array, words: str = "blank") -> Iterator[Block]:
         n = len(data)
         if not n:
             e = np.empty(0, np.int64)
-            yield Block(first, last, data, offsets, e.astype(np.uint64), e, e, np.zeros(last - first + 1, np.int64), np.zeros(1, np.uint64))
+            yield Block(first, last, data, offsets, e.astype(np.uint64), e, e, np.zeros(last - first + 1, np.int64))
             continue
         inside = ~gap[data]
         head = np.zeros(n + 1, dtype=bool)
@@ -106,18 +139,20 @@ def word_blocks(column: pa.Array, words: str = "blank") -> Iterator[Block]:
         after[:-1] = inside[1:]
         end = np.flatnonzero(inside & (~after | head[1:])) + 1
         low = _LOWER[data]
-        power, inverse = _power(n)
-        total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((low.astype(np.uint64) + np.uint64(1)) * power, out=total[1:])
-        h = mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
-        yield Block(first, last, low, offsets, h, start, end, np.searchsorted(start, offsets), total)
-
-
-def part_hashes(block: Block, size: int) -> np.ndarray:
-    """Hash of the first `size` bytes of each word (of the whole word if it is shorter)."""
-    stop = np.minimum(block.start + size, block.end)
-    _, inverse = _power(len(block.data))
-    return mix((block.prefix[stop] - block.prefix[block.start]) * inverse[block.start] + np.uint64(0x51ED27 + size))
+        h = mix(polynomials(low, start, end) + (end - start).astype(np.uint64))
+        yield Block(first, last, low, offsets, h, start, end, np.searchsorted(start, offsets))
+
+
+def part_hashes(block: Block, sizes: tuple[int, ...]) -> list[np.ndarray]:
+    """For each size, ascending, the hash of the first `size` bytes of each word (of the whole word if it is shorter)."""
+    total, found = np.zeros(len(block.start), dtype=np.uint64), []
+    length = block.end - block.start
+    for j in range(max(sizes)):
+        on = np.flatnonzero(length > j)
+        total[on] += _PLUS_ONE[block.data[block.start[on] + j]] * np.uint64(pow(_P, j, 1 << 64))
+        if j + 1 in sizes:
+            found.append(mix(total + np.uint64(0x51ED27 + j)))
+    return found
 
 
 def shingles(block: Block, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -27,6 +27,31 @@ def test_ids_are_the_librarys():
         assert ids.tolist() == lib.encode(text, add_special_tokens=False).ids, text
 
 
+def test_ids_of_any_marks_with_a_warm_cache():
+    """All printable ASCII and several scripts; one tokenizer, so that what it knows of earlier words meets later ones."""
+    rng = random.Random(3)
+    ascii_ = "".join(map(chr, range(32, 127)))
+    alphabets = [ascii_, ascii_ + "\n\t", "0123456789/_`a.,- ", "abcé ßÀ÷×'", "日本語テスト abc12", "αβγΣς я ё 👍🏽\u200d ", "ab _ / 0 "]
+    texts = ["0 and/or", "and/or 0", "10/10", "a _ b", "see x/y, total 0"] + ["".join(rng.choice(a) for _ in range(rng.randint(0, 40))) for a in alphabets for _ in range(1500)]
+    rng.shuffle(texts)
+    lib, t = library(), tokens.BatchTokenizer(PATH)
+    want = [x.ids for x in lib.encode_batch(texts, add_special_tokens=False)]
+    for at in range(0, len(texts), 500):
+        for text, ids, w in zip(texts[at : at + 500], t.encode(pa.array(texts[at : at + 500])), want[at : at + 500], strict=True):
+            assert ids.tolist() == w, text
+
+
+def test_long_texts_and_long_words():
+    """A word of a megabyte takes seconds; a text of several blocks is cut at blanks only."""
+    rng = random.Random(4)
+    long = " ".join("".join(rng.choice("etaoinsh") for _ in range(rng.randint(1, 9))) for _ in range(400_000))
+    word = "".join(rng.choice("etaoinsh") for _ in range(1_000_000))
+    lib, t = library(), tokens.BatchTokenizer(PATH)
+    assert len(long) > 3 * tokens.BLOCK
+    for text in (long, word, "x " + word + "\n!", "é" * 5000 + "!" * 5000, " " * 3_000_000):
+        assert next(iter(t.encode(pa.array([text])))).tolist() == lib.encode(text, add_special_tokens=False).ids
+
+
 def test_known_words_start_anew(monkeypatch):
     monkeypatch.setattr(tokens, "KNOWN_WORDS", 50)
     texts = [" ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(k, k + 40)) for k in range(0, 200, 20)]

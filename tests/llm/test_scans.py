@@ -336,6 +336,29 @@ def test_frames_are_plain_zstandard(tmp_path):
     assert zstandard.ZstdDecompressor().stream_reader(io.BytesIO(out.getvalue()), read_across_frames=True).read() == b"".join(records)
 
 
+# -- words
+
+
+def test_word_hashes_do_not_depend_on_blocks(monkeypatch):
+    """Of texts and words longer than a stretch, too."""
+    from callnet.llm import wordhash
+
+    rng = random.Random(20)
+    texts = [prose(rng, 300), "", "w" * 3000 + " " + "Ab" * 1500 + " end", None, "  ", prose(rng, 5)]
+    whole = list(wordhash.word_blocks(pa.array(texts)))
+    assert len(whole) == 1
+    monkeypatch.setattr(wordhash, "BLOCK", 512)
+    monkeypatch.setattr(wordhash, "_powers", [])
+    parts = list(wordhash.word_blocks(pa.array(texts)))
+    assert len(parts) > 2 and [b.first for b in parts[1:]] == [b.last for b in parts[:-1]]
+    assert np.concatenate([b.hash for b in parts]).tolist() == whole[0].hash.tolist()
+    for j in range(2):
+        assert np.concatenate([wordhash.part_hashes(b, (3, 5))[j] for b in parts]).tolist() == wordhash.part_hashes(whole[0], (3, 5))[j].tolist()
+    a, b = (next(iter(wordhash.word_blocks(pa.array([t])))) for t in ("abcde fghij", "ABCDX fghik"))
+    assert wordhash.part_hashes(a, (4,))[0].tolist() == wordhash.part_hashes(b, (4,))[0].tolist()
+    assert not set(a.hash.tolist()) & set(b.hash.tolist())
+
+
 # -- toxicity
 
 
