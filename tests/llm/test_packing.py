@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 
 from callnet.llm import packing, tokens
+from tests.llm.conftest import CLASH
 
 PATH = packing.default_tokenizer()
 
@@ -95,27 +96,102 @@ def test_no_documents(documents):
     assert packing.pack_documents(documents([]), PATH).collect() == []
 
 
-@pytest.mark.parametrize("rest", [0, 50])
-def test_program_covers_exactly_and_tightly(rest):
-    rng = np.random.default_rng(5)
-    lengths = np.minimum(4096, rng.lognormal(6.5, 1, 20000).astype(int) + 1)
-    lengths[:6000] = 4096  # a hot length
-    histogram = dict(zip(*(x.tolist() for x in np.unique(lengths, return_counts=True)), strict=True))
-    rows = packing.intervals(histogram, units=256, rest=rest)
-    load = {}
-    for n, a, b, shift, copies, first in rows:
+def histogram_of(lengths):
+    return dict(zip(*(x.tolist() for x in np.unique(lengths, return_counts=True)), strict=True))
+
+
+def sequences_of(rows, histogram):
+    """How many sequences the intervals make; every rank of every length is in one, none is too full."""
+    load, spans = {}, {}
+    for n, a, b, copies, first in rows:
+        spans.setdefault(n, []).append((a, b))
         for rank in range(a, b):
-            s = first + (rank + shift) // copies
+            s = first + (rank - a) // copies
             load[s] = load.get(s, 0) + n
-    spans = {}
-    for n, a, b, *_ in rows:
-        spans.setdefault(n, []).append((a, b))
     for n, parts in spans.items():
         parts.sort()
         assert parts[0][0] == 0 and parts[-1][1] == histogram[n] and all(x[1] == y[0] for x, y in zip(parts, parts[1:], strict=False))
-    assert max(load.values()) <= 4096 and sum(load.values()) == lengths.sum()
-    assert len(load) <= 1.03 * lengths.sum() / 4096 + 1
+    assert max(load.values()) <= 4096 and sum(load.values()) == sum(n * c for n, c in histogram.items())
+    return len(load)
+
+
+def test_program_covers_exactly_and_tightly():
+    rng = np.random.default_rng(5)
+    lengths = np.minimum(4096, rng.lognormal(6.5, 1, 20000).astype(int) + 1)
+    lengths[:6000] = 4096  # a hot length
+    histogram = histogram_of(lengths)
+    assert sequences_of(packing.intervals(histogram), histogram) <= 1.002 * lengths.sum() / 4096 + 1
+
+
+def test_long_pieces_take_fewer_sequences_than_best_fit():
+    """Where few lengths go together well the program finds which."""
+    histogram = histogram_of(np.random.default_rng(6).integers(700, 2200, 5000))
+    plain = sum(t for _, t in packing.best_fit_decreasing(histogram, 4096).entries())
+    assert sequences_of(packing.intervals(histogram), histogram) < 0.98 * plain
+
+
+@pytest.mark.parametrize(("sizes", "gap"), [([1], packing.GAP), ([256], packing.GAP), ([100, 120, 150], packing.GAP), (list(range(16, 90)), packing.GAP), (list(range(16, 257)), 0.03)])
+def test_gap_and_bound_of_the_program(sizes, gap):
+    """241 sizes of random demands end after the greatest number of steps."""
+    sizes = np.array(sizes)
+    demand = np.random.default_rng(len(sizes)).integers(1, 1000, len(sizes)).astype(float)
+    uses, bound = packing.program(sizes, demand, 256)
+    assert all((c * sizes).sum() <= 256 for c, _ in uses)
+    assert (sum(c * n for c, n in uses) >= demand * (1 - 1e-9)).all()
+    value = sum(n for _, n in uses)
+    assert bound * (1 - 1e-9) <= value <= (1 + gap) * bound * (1 + 1e-9)
+    if len(sizes) == 3:  # two to a sequence, whatever they are
+        assert bound == pytest.approx(demand.sum() / 2, rel=0.011)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_few_pieces_against_all_partitions(seed):
+    """At most one sequence more than the fewest there can be."""
+    rng = random.Random(seed)
+    lengths = [rng.randint(1, 32) for _ in range(rng.randint(1, 7))]
+
+    def fewest(rest, bins):
+        if not rest:
+            return len(bins)
+        best = fewest(rest[1:], [*bins, rest[0]])
+        for i, b in enumerate(bins):
+            if b + rest[0] <= 32:
+                best = min(best, fewest(rest[1:], [*bins[:i], b + rest[0], *bins[i + 1 :]]))
+        return best
+
+    found = packing.plan(histogram_of(np.array(lengths)), 32)
+    assert sorted(n for c, t in found for n, k in c.items() for _ in range(k * t)) == sorted(lengths)
+    assert all(sum(n * k for n, k in c.items()) <= 32 for c, _ in found)
+    assert sum(t for _, t in found) <= fewest(lengths, []) + (len(lengths) > 4)
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_about_as_few_sequences_as_best_fit_on_documents(sf):
+    """Their many short pieces let best fit decreasing come within a sequence of the bound; so does the program."""
+    import pyarrow.dataset as ds
+
+    column = ds.dataset(f"/root/testdata/{sf}/documents.parquet").to_table(columns=["text"])["text"].combine_chunks()
+    lengths = []
+    for ids in tokens.BatchTokenizer(PATH).encode(column):
+        full, rest = divmod(len(ids) + 1, 4096)
+        lengths += [4096] * full + [rest] * (rest > 0)
+    histogram = histogram_of(np.array(lengths))
+    plain = sum(t for _, t in packing.best_fit_decreasing(histogram, 4096).entries())
+    assert sequences_of(packing.intervals(histogram), histogram) <= plain + 1
 
 
 def test_best_fit():
-    assert sorted(map(sorted, packing.best_fit_decreasing([5, 5, 3, 2, 7, 8], 10))) == [[2, 8], [3, 7], [5]]
+    found = packing.best_fit_decreasing({5: 2, 3: 1, 2: 1, 7: 1, 8: 1}, 10).entries()
+    assert sorted(sorted(n for n, k in c.items() for _ in range(k)) for c, t in found for _ in range(t)) == [[2, 8], [3, 7], [5, 5]]
+
+
+def test_clashing_names_null_ids_and_repeated_rows(documents):
+    texts = ["a b c", None, "", "a b c", "x " * 90]
+    rows = packing.pack_documents(documents(texts, [1, None, 1, 1, 2], **CLASH, rank="r", length="l", sequence_id="s", piece="p"), PATH, capacity=16).collect()
+    assert sorted(r.length for r in rows if r.doc_id == 1) == [1, 4, 4] and [r.length for r in rows if r.doc_id is None] == [1]
+    assert sum(r.length for r in rows) == 4 + 1 + 1 + 4 + 91
+    by = {}
+    for r in sorted(rows, key=lambda r: r.offset):
+        assert r.offset == by.get(r.sequence_id, 0)
+        by[r.sequence_id] = r.offset + r.length
+    assert max(by.values()) <= 16
