@@ -121,24 +121,35 @@ def test_assortativity_is_null_on_regular_graphs(spark):
     assert core.assortativity(graph(spark, [(0, 1), (1, 2)])).first()[0] == pytest.approx(-1)
 
 
-def test_power_law_against_the_plain_loop(spark):
+def test_power_law_against_its_definition(spark):
+    """Exponent and distance of a start m are, by definition, 1 + N / sum(n_k ln(k / (m - 1/2))) over degrees k >= m, and the
+    greatest difference between the steps of the tail's distribution and 1 - (k / m) ** (1 - exponent); the start of least distance is chosen."""
+    from collections import Counter
+    from math import log
+
     import numpy as np
 
-    rng = np.random.default_rng(4)
-    x = np.minimum(rng.zipf(2.3, 400), 40)
-    best = None
-    for start in range(1, int(x.max())):
-        tail = np.sort(x[x >= start])
-        if len(tail) < 30:
-            break
-        alpha = 1 + len(tail) / np.log(tail / (start - 0.5)).sum()
-        ks = np.abs(np.arange(1, len(tail) + 1) / len(tail) - (1 - (tail / start) ** (1 - alpha))).max()
-        if best is None or ks < best[3]:
-            best = (start, len(tail), alpha, ks)
-    h = spark.createDataFrame([(int(v),) for v in x], "k long").groupBy("k").agg(F.count(F.lit(1)).alias("n_k"))
+    n = Counter(np.minimum(np.random.default_rng(4).zipf(2.3, 400), 40).tolist())
+
+    def size(m):
+        return sum(c for k, c in n.items() if k >= m)
+
+    def exponent(m):
+        return 1 + size(m) / sum(c * log(k / (m - 0.5)) for k, c in n.items() if k >= m)
+
+    def distance(m):
+        steps = [(k, s / size(m)) for k in n if k >= m for s in (size(m) - size(k) + 1, size(m) - size(k + 1))]
+        return max(abs(share - 1 + (k / m) ** (1 - exponent(m))) for k, share in steps)
+
+    starts = [m for m in range(1, max(n)) if size(m) >= 30]
+    m = min(starts, key=distance)
+    h = spark.createDataFrame(list(n.items()), "k long, n_k long")
     got = powerlaw.power_law(h).first()
-    assert (got.x_min, got.n_tail) == best[:2] and got.alpha == pytest.approx(best[2]) and got.ks == pytest.approx(best[3])
+    assert (got.x_min, got.n_tail) == (m, size(m)) and got.alpha == pytest.approx(exponent(m)) and got.ks == pytest.approx(distance(m))
     assert powerlaw.power_law(h.limit(0)).count() == 0
+    # two degrees, by hand: 40 nodes of degree 1 and 40 of degree 2 from 1 on
+    two = powerlaw.power_law(spark.createDataFrame([(1, 40), (2, 40)], "k long, n_k long")).first()
+    assert (two.x_min, two.n_tail) == (1, 80) and two.alpha == pytest.approx(1 + 80 / (40 * log(2) + 40 * log(4)))
 
 
 def test_two_cliques_are_two_communities(spark):
