@@ -10,7 +10,9 @@ from callnet.functions.scalars import safe_ratio
 from callnet.operators.graph.core import Graph
 from callnet.storage import materialize
 
-LEAST_GAIN, MAX_SWEEPS, MAX_LEVELS = 1e-7, 16, 30
+LEAST_GAIN, MAX_LEVELS = 1e-7, 30
+#: Sweeps after which the gain is looked at.
+SWEEPS = 8
 
 
 def modularity(g: Graph, partition: DataFrame, weight: str = "weight") -> DataFrame:
@@ -54,7 +56,7 @@ def _sweep(arcs: DataFrame, strength: DataFrame, labels: DataFrame, m: float, tu
 
 
 def louvain(g: Graph, weight: str = "weight", seed: int = 42) -> DataFrame:
-    """N20. (node, community): local moves until no node moves (MAX_SWEEPS at most), then communities become nodes, until modularity gains less than LEAST_GAIN.
+    """N20. (node, community): local moves until no node moves or SWEEPS more sweeps gain less than LEAST_GAIN, then communities become nodes, until modularity gains less than LEAST_GAIN.
 
     Moves are synchronous; only half of the nodes, by a hash that changes every other sweep, may move at a time, so neighbours don't
     swap places for ever. A level that doesn't raise modularity is not kept. Communities are numbered from 0 by size, then least node.
@@ -73,13 +75,20 @@ def louvain(g: Graph, weight: str = "weight", seed: int = 42) -> DataFrame:
         strength = nodes.join(strength, "node", "left").na.fill(0.0, ["k"])
         labels = materialize(nodes.select("node", F.col("node").alias("c")), "labels")
         start = _score(arcs, labels, loops, m)
-        quiet = 0
-        for turn in range(MAX_SWEEPS):
+        quiet = turn = 0
+        last = start
+        while True:
             swept = materialize(_sweep(arcs, strength, labels, m, turn + seed % 2), "labels")
             labels = swept.select("node", "c")
             quiet = 0 if swept.where("moved").limit(1).count() else quiet + 1
             if quiet == 2:  # neither half moves
                 break
+            turn += 1
+            if turn % SWEEPS == 0:
+                reached = _score(arcs, labels, loops, m)
+                if reached - last < LEAST_GAIN:
+                    break
+                last = reached
         now = _score(arcs, labels, loops, m)
         if now - start < LEAST_GAIN or best_overall is not None and now - best_overall < LEAST_GAIN:
             break

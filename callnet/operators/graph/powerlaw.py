@@ -14,8 +14,10 @@ def candidates(histogram: DataFrame, least_tail: int = LEAST_TAIL) -> DataFrame:
     The self-join is over distinct degrees. Equal degrees make a run in the sorted tail; the greatest distance is at its first or last place.
     """
     h = histogram.where("k > 0")
-    tops = h.agg(F.max("k").alias("top")).where("top > 1")
-    starts = tops.select(F.explode(F.sequence(F.lit(1).cast("long"), F.col("top") - 1)).alias("x_min"))
+    # no start beyond the last degree that leaves a tail of `least_tail`: few rows, however great the greatest degree is
+    left = h.select("k", F.sum("n_k").over(Window.orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)).alias("tail"), F.max("k").over(Window.partitionBy()).alias("top"))
+    last = left.where(F.col("tail") >= least_tail).agg(F.max(F.least("k", F.col("top") - 1)).alias("last")).where("last >= 1")
+    starts = last.select(F.explode(F.sequence(F.lit(1).cast("long"), F.col("last"))).alias("x_min"))
     tail = starts.join(h, F.col("k") >= F.col("x_min"))
     fit = tail.groupBy("x_min").agg(F.sum("n_k").alias("n_tail"), F.sum(F.col("n_k") * F.ln(F.col("k") / (F.col("x_min") - 0.5))).alias("logs")).where(F.col("n_tail") >= least_tail)
     fit = fit.select("x_min", "n_tail", (1 + F.col("n_tail") / F.col("logs")).alias("alpha"))

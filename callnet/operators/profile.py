@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from callnet.functions.ordering import ranked
+from callnet.functions.ordering import quantiles, ranked
 from callnet.functions.scalars import safe_ratio
 
 EMITTER_PERCENTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
@@ -20,10 +20,17 @@ def with_rates(emitters: DataFrame) -> DataFrame:
 def global_summary(emitters: DataFrame) -> DataFrame:
     """G3. Distinct callers, sums, means, exact medians."""
     e = with_rates(emitters)
-    return e.agg(
+    measured = ["total_calls_make", "calls_per_receiver"]
+    medians = quantiles(e.select(*[F.col(c).cast("double").alias(c) for c in measured]).unpivot([], measured, "metric", "x"), "metric", "x", (0.5,))
+    medians = medians.agg(*[F.max(F.when(F.col("metric") == c, F.col("p")[0])).alias(f"median_{c}") for c in measured])
+    sums = e.agg(
         F.countDistinct("id_emisor").alias("n_emitters"), F.sum("total_calls_make").alias("total_calls"), F.sum("unique_receivers").alias("total_receivers"), F.round(F.avg("total_calls_make"), 6).alias("mean_calls"),
-        F.median("total_calls_make").alias("median_calls"), F.round(F.avg("calls_per_receiver"), 6).alias("mean_calls_per_receiver"), F.round(F.median("calls_per_receiver"), 6).alias("median_calls_per_receiver"),
+        F.round(F.avg("calls_per_receiver"), 6).alias("mean_calls_per_receiver"),
     )
+    out = sums.join(F.broadcast(medians))  # one row each
+    return out.select(
+        "n_emitters", "total_calls", "total_receivers", "mean_calls", F.col("median_total_calls_make").alias("median_calls"), "mean_calls_per_receiver", F.round("median_calls_per_receiver", 6).alias("median_calls_per_receiver")
+    )
 
 
 def describe(df: DataFrame, columns: list[str], percentiles: tuple[float, ...] = QUARTILES) -> DataFrame:
@@ -31,8 +38,8 @@ def describe(df: DataFrame, columns: list[str], percentiles: tuple[float, ...] =
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "metric", "x")
     got = long.groupBy("metric").agg(
         F.count("x").alias("n"), F.round(F.avg("x"), 6).alias("mean"), F.round(F.stddev_samp("x"), 6).alias("std"), F.min("x").alias("min"),
-        F.percentile("x", F.array(*[F.lit(p) for p in percentiles])).alias("p"), F.max("x").alias("max"),
-    )
+        F.max("x").alias("max"),
+    ).join(quantiles(long, "metric", "x", percentiles), "metric", "left")
     return got.select("metric", "n", "mean", "std", "min", *[F.round(F.col("p")[i], 6).alias(f"p{round(100 * p):02d}") for i, p in enumerate(percentiles)], "max")
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from callnet.functions.ordering import ranked
 from callnet.functions.scalars import normal_key
 
 ATTRIBUTES = ["residence_geometry", "residence_city", "residence_quintile_state", "residence_quintile_nation"]
@@ -55,9 +56,7 @@ def antennas(residences: DataFrame) -> DataFrame:
     """W5, P11, G19. One row per geometry (all null geometries share one): dense key by geometry, attributes of the least ID."""
     rows = residences.withColumn("geometry_key", F.coalesce("residence_geometry", F.lit("<NA>")))
     first = rows.groupBy("geometry_key").agg(F.min_by(F.struct(*ATTRIBUTES), F.col("ID")).alias("a"))
-    # the window runs over distinct geometries
-    key = F.dense_rank().over(Window.orderBy("geometry_key")).cast("long")
-    return first.select(key.alias("antenna_id"), "geometry_key", "a.*")
+    return ranked(first, [F.col("geometry_key")], rank="antenna_id").select("antenna_id", "geometry_key", "a.*")
 
 
 def antennas_of_city(antenna_table: DataFrame, city: str) -> DataFrame:
@@ -66,8 +65,9 @@ def antennas_of_city(antenna_table: DataFrame, city: str) -> DataFrame:
 
 
 def edges_with_antennas(edges: DataFrame, residences: DataFrame) -> DataFrame:
-    """J1, P8, J6, P16. Edges of which both ends have a residence, with the antenna of either end."""
-    keys = residences.withColumn("geometry_key", F.coalesce("residence_geometry", F.lit("<NA>"))).join(antennas(residences).select("geometry_key", "antenna_id"), "geometry_key").select("ID", "antenna_id")
+    """J1, P8, J6, P16. Edges of which both ends have a residence, with the antenna of either end. A repeated residence ID is an error, as it would multiply edges."""
+    keys = residences.withColumn("geometry_key", F.coalesce("residence_geometry", F.lit("<NA>"))).join(antennas(residences).select("geometry_key", "antenna_id"), "geometry_key").groupBy("ID").agg(F.count(F.lit(1)).alias("n"), F.min("antenna_id").alias("antenna_id"))
+    keys = keys.select("ID", F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("repeated residence ID "), "ID")).cast("long")).otherwise(F.col("antenna_id")).alias("antenna_id"))
     a = keys.select(F.col("ID").alias("id_emisor"), F.col("antenna_id").alias("emissor_antenna_id"))
     b = keys.select(F.col("ID").alias("id_receiver"), F.col("antenna_id").alias("receptor_antenna_id"))
     # an inner join on a unique key keeps the rows that both semi joins keep, and looks the key up in the same pass

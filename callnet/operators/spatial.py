@@ -33,17 +33,26 @@ def wkb_point(hexed: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(t) for t in hexed], columns=["x", "y"])
 
 
-def nearest_antenna(points: DataFrame, antennas: DataFrame, limit: int = 100_000) -> DataFrame:
+def nearest_antenna(points: DataFrame, antennas: DataFrame, block: int = 10_000) -> DataFrame:
     """D3. Voronoi cell membership: (point id, antenna_id) of the nearest antenna by squared distance, the smaller id on ties.
 
-    points: (id, x, y), antennas: (antenna_id, x, y). The antennas are broadcast; above `limit` of them this refuses.
+    points: (id, x, y), antennas: (antenna_id, x, y). The antennas are dealt into blocks of some `block` rows; each point takes the nearest of
+    each block and then of all blocks, so a task holds one block at a time, however many there are.
     """
-    n = antennas.count()
-    if n > limit:
-        raise ValueError(f"{n} antennas; at most {limit} can be compared with every point")
-    a = F.broadcast(antennas.agg(F.collect_list(F.struct("antenna_id", F.col("x").alias("ax"), F.col("y").alias("ay"))).alias("all")).withColumn("one", F.lit(1)))
+    blocks = -(-antennas.count() // block)
+    if not blocks:
+        return points.select("id", F.lit(None).cast(antennas.schema["antenna_id"].dataType).alias("antenna_id"))
+    dealt = antennas.withColumn("block", F.pmod(F.xxhash64("antenna_id"), F.lit(blocks)))
+    a = dealt.groupBy("block").agg(F.collect_list(F.struct("antenna_id", F.col("x").alias("ax"), F.col("y").alias("ay"))).alias("all"))
     near = F.array_min(F.transform("all", lambda p: F.struct(((p["ax"] - F.col("x")) * (p["ax"] - F.col("x")) + (p["ay"] - F.col("y")) * (p["ay"] - F.col("y"))).alias("d"), p["antenna_id"].alias("antenna_id"))))
-    return points.withColumn("one", F.lit(1)).join(a, "one").select("id", near["antenna_id"].alias("antenna_id"))
+    with_blocks = points.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(a, "block")
+    found = with_blocks.select("id", near.alias("near")).groupBy("id").agg(F.min("near").alias("near"))
+    return found.select("id", F.col("near.antenna_id").alias("antenna_id"))
+
+
+def hub_antennas(hubs: DataFrame, user_antenna: DataFrame) -> DataFrame:
+    """D4. Hubs (node, ..) with their antenna, null where they have none."""
+    return hubs.join(user_antenna.withColumnRenamed("user_id", "node"), "node", "left")
 
 
 def antenna_communities(communities: DataFrame, user_antenna: DataFrame) -> DataFrame:

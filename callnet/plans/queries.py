@@ -12,7 +12,7 @@ from callnet.operators import bands, edges, profile, quality, rankings, residenc
 from callnet.operators.graph import centrality, clustering, community, core, kcore, paths, powerlaw, random_graph, robustness
 from callnet.plans import sql as S
 from callnet.sources import fixtures, tables
-from callnet.storage import materialize
+from callnet.storage import materialize, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,23 +29,24 @@ def query(name: str, *parts: str, select: str | None = None) -> Callable[[Query]
     return register
 
 
-_views: dict[tuple[str, str, str], object] = {}
+_views: dict[tuple[object, ...], object] = {}
 
 
 def once(name: str, spark: SparkSession, sf_dir: str, build: Callable[[], object]) -> object:
-    """A result that several queries need, built once per application and input (all parts of it are written tables)."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """A result that several queries need, built once per application and state of the input files (all parts of it are written tables)."""
+    state = tuple(tables.stamp(spark, f"{sf_dir}/{t}.parquet") for t in ("customer", "orders", "lineitem"))
+    key = (spark.sparkContext.applicationId, sf_dir, state, name)
     if key not in _views:
         _views[key] = build()
     return _views[key]
 
 
 def sparse_graph(spark: SparkSession, sf_dir: str) -> core.Graph:
-    return once("sparse", spark, sf_dir, lambda: core.Graph.from_edges(materialize(edges.undirected_edges(fixtures.edges(spark, sf_dir)), "undirected")).materialized())
+    return once("sparse", spark, sf_dir, lambda: core.Graph.from_edges(materialize(edges.undirected_edges(fixtures.edges(spark, sf_dir, "sparse")), "undirected")).materialized())
 
 
 def dense_graph(spark: SparkSession, sf_dir: str) -> core.Graph:
-    return once("dense", spark, sf_dir, lambda: core.Graph.from_edges(materialize(edges.undirected_edges(fixtures.edges(spark, sf_dir, dense=True)), "undirected")).materialized())
+    return once("dense", spark, sf_dir, lambda: core.Graph.from_edges(materialize(edges.undirected_edges(fixtures.edges(spark, sf_dir, "dense")), "undirected")).materialized())
 
 
 def sparse_giant(spark: SparkSession, sf_dir: str) -> core.Graph:
@@ -65,8 +66,8 @@ def dense_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once("communities", spark, sf_dir, lambda: materialize(community.louvain(dense_giant(spark, sf_dir)), "communities"))
 
 
-def antenna_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return residence.edges_with_antennas(fixtures.edges(spark, sf_dir), residence.normal_residences(fixtures.residences(spark, sf_dir)))
+def antenna_edges(spark: SparkSession, sf_dir: str, kind: str = "calls") -> DataFrame:
+    return residence.edges_with_antennas(fixtures.edges(spark, sf_dir, kind), residence.normal_residences(fixtures.residences(spark, sf_dir)))
 
 
 # -- scans and profiles ------------------------------------------------------------------------------------------------
@@ -171,10 +172,10 @@ def _histograms() -> None:
     add("histogram_distance_log", fixtures.edges, "residence_distance_km", 80, [S.EDGES], "edges", log=True)
     top = ", conc AS (SELECT id_emisor, max(q_calls) / CAST(sum(q_calls) AS DOUBLE) AS top_share FROM edges GROUP BY id_emisor)"
     add("histogram_top_share", lambda spark, sf_dir: rankings.concentration(fixtures.edges(spark, sf_dir)), "top_share", 40, [S.EDGES + top.replace("max(q_calls) / CAST(sum(q_calls) AS DOUBLE)", "round(max(q_calls) / CAST(sum(q_calls) AS DOUBLE), 9)")], "conc")
-    add("histogram_degree", lambda spark, sf_dir: core.degrees(sparse_graph(spark, sf_dir)), "degree", 50, [S.EDGES, S.GRAPH], "degrees")
-    add("histogram_centrality_degree", lambda spark, sf_dir: core.degrees(sparse_giant(spark, sf_dir)), "degree", 40, [S.EDGES, S.GRAPH, S.COMPONENTS], "gdegrees")
+    add("histogram_degree", lambda spark, sf_dir: core.degrees(sparse_graph(spark, sf_dir)), "degree", 50, [S.SPARSE, S.GRAPH], "degrees")
+    add("histogram_centrality_degree", lambda spark, sf_dir: core.degrees(sparse_giant(spark, sf_dir)), "degree", 40, [S.SPARSE, S.GRAPH, S.COMPONENTS], "gdegrees")
     blocks = ", blocks AS (SELECT CAST(node AS BIGINT) // 30 AS community, count(*) AS community_size FROM nodes GROUP BY 1)"
-    add("histogram_community_sizes", lambda spark, sf_dir: community.community_sizes(community.fixed_partition(sparse_graph(spark, sf_dir), 30)), "community_size", 30, [S.EDGES, S.GRAPH + blocks], "blocks")
+    add("histogram_community_sizes", lambda spark, sf_dir: community.community_sizes(community.fixed_partition(sparse_graph(spark, sf_dir), 30)), "community_size", 30, [S.SPARSE, S.GRAPH + blocks], "blocks")
 
 
 _histograms()
@@ -239,12 +240,12 @@ def top_concentration(spark, sf_dir):
 @query(
     "edge_explode", S.EDGES, S.EMITTERS, S.DIRTY,
     select="""SELECT id_emisor, IDs_receivers_corr[i] AS id_receiver, q_calls_corr[i] AS q_calls, residence_distance_km_corr[i] AS residence_distance_km,
-    calls_duration_total_corr[i] AS calls_duration_total, round(calls_duration_total_corr[i] / q_calls_corr[i], 6) AS avg_duration_per_call
+    calls_duration_total_corr[i] AS calls_duration_total, round(calls_duration_total_corr[i] / q_calls_corr[i], 8) AS avg_duration_per_call
     FROM (SELECT *, unnest(range(1, least(len(IDs_receivers_corr), len(q_calls_corr), len(residence_distance_km_corr), len(calls_duration_total_corr)) + 1)) AS i FROM dirty)""",
 )
 def edge_explode(spark, sf_dir):
     got = edges.explode_edges(fixtures.emitters(spark, sf_dir, dirty=True))
-    return got.withColumn("avg_duration_per_call", F.round("avg_duration_per_call", 6))
+    return got.withColumn("avg_duration_per_call", F.round("avg_duration_per_call", 8))
 
 
 @query(
@@ -351,12 +352,12 @@ def antennas_city(spark, sf_dir):
     return residence.antennas_of_city(residence.antennas(_residences(spark, sf_dir)), "ASIA").drop("geometry_key")
 
 
-_EA = "id_emisor, id_receiver, q_calls, residence_distance_km, calls_duration_total, round(avg_duration_per_call, 6) AS avg_duration_per_call, emissor_antenna_id, receptor_antenna_id"
+_EA = "id_emisor, id_receiver, q_calls, residence_distance_km, calls_duration_total, round(avg_duration_per_call, 8) AS avg_duration_per_call, emissor_antenna_id, receptor_antenna_id"
 
 
 @query("edges_antenna", S.EDGES, S.RESIDENCES, S.ANTENNAS, select=f"SELECT {_EA} FROM edges_antenna")
 def edges_antenna(spark, sf_dir):
-    return antenna_edges(spark, sf_dir).withColumn("avg_duration_per_call", F.round("avg_duration_per_call", 6))
+    return antenna_edges(spark, sf_dir).withColumn("avg_duration_per_call", F.round("avg_duration_per_call", 8))
 
 
 @query("antenna_nulls", S.EDGES, S.RESIDENCES, S.ANTENNAS, select="SELECT CAST(count_if(emissor_antenna_id IS NULL) AS BIGINT) AS emissor_nulls, CAST(count_if(receptor_antenna_id IS NULL) AS BIGINT) AS receptor_nulls FROM edges_antenna")
@@ -375,48 +376,48 @@ def user_antenna_mode(spark, sf_dir):
 # -- graph: one or two aggregates --------------------------------------------------------------------------------------
 
 
-@query("undirected_edges", S.EDGES, S.GRAPH, select="SELECT source, target, q_calls, round(calls_duration_total, 4) AS calls_duration_total, round(avg_duration_per_call, 4) AS avg_duration_per_call, round(residence_distance_km, 6) AS residence_distance_km, round(weight, 6) AS weight FROM undirected")
+@query("undirected_edges", S.EDGES, S.GRAPH, select="SELECT source, target, q_calls, round(calls_duration_total, 4) AS calls_duration_total, round(avg_duration_per_call, 8) AS avg_duration_per_call, round(residence_distance_km, 6) AS residence_distance_km, round(weight, 6) AS weight FROM undirected")
 def undirected(spark, sf_dir):
     u = edges.undirected_edges(fixtures.edges(spark, sf_dir))
-    return u.withColumns({c: F.round(c, n) for c, n in (("calls_duration_total", 4), ("avg_duration_per_call", 4), ("residence_distance_km", 6), ("weight", 6))})
+    return u.withColumns({c: F.round(c, n) for c, n in (("calls_duration_total", 4), ("avg_duration_per_call", 8), ("residence_distance_km", 6), ("weight", 6))})
 
 
-@query("density", S.EDGES, S.GRAPH, select="SELECT n_nodes, n_edges, round(2.0 * n_edges / (n_nodes * (n_nodes - 1)), 12) AS density FROM (SELECT count(*) AS n_nodes FROM nodes), (SELECT count(*) AS n_edges FROM undirected)")
+@query("density", S.SPARSE, S.GRAPH, select="SELECT n_nodes, n_edges, round(2.0 * n_edges / (n_nodes * (n_nodes - 1)), 12) AS density FROM (SELECT count(*) AS n_nodes FROM nodes), (SELECT count(*) AS n_edges FROM undirected)")
 def density(spark, sf_dir):
     return core.counts(sparse_graph(spark, sf_dir)).withColumn("density", F.round("density", 12))
 
 
-@query("degree", S.EDGES, S.GRAPH, select="SELECT node, degree FROM degrees")
+@query("degree", S.SPARSE, S.GRAPH, select="SELECT node, degree FROM degrees")
 def degree(spark, sf_dir):
     return core.degrees(sparse_graph(spark, sf_dir)).select("node", "degree")
 
 
-@query("strength", S.EDGES, S.GRAPH, select="SELECT node, strength FROM degrees")
+@query("strength", S.SPARSE, S.GRAPH, select="SELECT node, strength FROM degrees")
 def strength(spark, sf_dir):
     return core.degrees(sparse_graph(spark, sf_dir)).select("node", "strength")
 
 
-@query("degree_describe", S.EDGES, S.GRAPH, select=S.describe("degrees", ["degree"], [0.25, 0.5, 0.75]))
+@query("degree_describe", S.SPARSE, S.GRAPH, select=S.describe("degrees", ["degree"], [0.25, 0.5, 0.75]))
 def degree_describe(spark, sf_dir):
     return profile.describe(core.degrees(sparse_graph(spark, sf_dir)), ["degree"])
 
 
-@query("degree_ccdf", S.EDGES, S.GRAPH, select="SELECT degree AS value, count(*) AS n_k, round(CAST(sum(count(*)) OVER (ORDER BY degree DESC) AS DOUBLE) / sum(count(*)) OVER (), 9) AS survival FROM degrees GROUP BY degree")
+@query("degree_ccdf", S.SPARSE, S.GRAPH, select="SELECT degree AS value, count(*) AS n_k, round(CAST(sum(count(*)) OVER (ORDER BY degree DESC) AS DOUBLE) / sum(count(*)) OVER (), 9) AS survival FROM degrees GROUP BY degree")
 def degree_ccdf(spark, sf_dir):
     return profile.survival_by_value(core.degrees(sparse_graph(spark, sf_dir)), "degree")
 
 
-@query("components", S.EDGES, S.GRAPH, S.COMPONENTS, select="SELECT node, component FROM comps")
+@query("components", S.SPARSE, S.GRAPH, S.COMPONENTS, select="SELECT node, component FROM comps")
 def components(spark, sf_dir):
     return core.components(sparse_graph(spark, sf_dir))
 
 
-@query("component_sizes", S.EDGES, S.GRAPH, S.COMPONENTS, select="SELECT component, size FROM sizes")
+@query("component_sizes", S.SPARSE, S.GRAPH, S.COMPONENTS, select="SELECT component, size FROM sizes")
 def component_sizes(spark, sf_dir):
     return core.component_sizes(core.components(sparse_graph(spark, sf_dir)))
 
 
-@query("giant_share", S.EDGES, S.GRAPH, S.COMPONENTS, select="SELECT count(*) AS n_components, max(size) AS giant_size, round(max(size) / CAST(sum(size) AS DOUBLE), 9) AS giant_share FROM sizes")
+@query("giant_share", S.SPARSE, S.GRAPH, S.COMPONENTS, select="SELECT count(*) AS n_components, max(size) AS giant_size, round(max(size) / CAST(sum(size) AS DOUBLE), 9) AS giant_share FROM sizes")
 def giant_share(spark, sf_dir):
     return core.giant_share(core.components(sparse_graph(spark, sf_dir)))
 
@@ -427,12 +428,12 @@ tn AS (SELECT node, count(*) AS t FROM (SELECT a AS node FROM tri UNION ALL SELE
 local AS (SELECT n.node, coalesce(d, 0) AS degree, coalesce(t, 0) AS triangles, coalesce(2.0 * t / nullif(d * (d - 1), 0), 0) AS clustering FROM nodes n LEFT JOIN sdeg ON sdeg.node = n.node LEFT JOIN tn ON tn.node = n.node)"""
 
 
-@query("clustering_local", S.EDGES, S.GRAPH + _TRIANGLES, select="SELECT node, degree, triangles, round(CAST(clustering AS DOUBLE), 9) AS clustering FROM local")
+@query("clustering_local", S.SPARSE, S.GRAPH + _TRIANGLES, select="SELECT node, degree, triangles, round(CAST(clustering AS DOUBLE), 9) AS clustering FROM local")
 def clustering_local(spark, sf_dir):
     return clustering.local_clustering(sparse_graph(spark, sf_dir)).withColumn("clustering", F.round("clustering", 9))
 
 
-@query("clustering_avg", S.EDGES, S.GRAPH + _TRIANGLES, select="SELECT round(avg(CAST(clustering AS DOUBLE)), 9) AS average_clustering FROM local")
+@query("clustering_avg", S.SPARSE, S.GRAPH + _TRIANGLES, select="SELECT round(avg(CAST(clustering AS DOUBLE)), 9) AS average_clustering FROM local")
 def clustering_avg(spark, sf_dir):
     return clustering.average_clustering(sparse_graph(spark, sf_dir))
 
@@ -443,7 +444,7 @@ def clustering_dense(spark, sf_dir):
 
 
 @query(
-    "assortativity", S.EDGES, S.GRAPH, S.COMPONENTS,
+    "assortativity", S.SPARSE, S.GRAPH, S.COMPONENTS,
     select="""SELECT round((sp / n - (s / n) * (s / n)) / (ss / n - (s / n) * (s / n)), 9) AS assortativity FROM (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(sum(a.degree) AS DOUBLE) AS s,
     CAST(sum(a.degree * a.degree) AS DOUBLE) AS ss, CAST(sum(a.degree * b.degree) AS DOUBLE) AS sp FROM gends JOIN gdegrees a ON a.node = gends.node JOIN gdegrees b ON b.node = gends.neighbour)""",
 )
@@ -451,7 +452,7 @@ def assortativity(spark, sf_dir):
     return core.assortativity(sparse_giant(spark, sf_dir))
 
 
-@query("knn", S.EDGES, S.GRAPH, S.COMPONENTS, select="SELECT a.degree AS k, round(avg(b.degree), 9) AS mean_neighbour_degree FROM gends JOIN gdegrees a ON a.node = gends.node JOIN gdegrees b ON b.node = gends.neighbour GROUP BY a.degree")
+@query("knn", S.SPARSE, S.GRAPH, S.COMPONENTS, select="SELECT a.degree AS k, round(avg(b.degree), 9) AS mean_neighbour_degree FROM gends JOIN gdegrees a ON a.node = gends.node JOIN gdegrees b ON b.node = gends.neighbour GROUP BY a.degree")
 def knn(spark, sf_dir):
     return core.neighbour_degree(sparse_giant(spark, sf_dir))
 
@@ -463,14 +464,14 @@ gaps AS (SELECT x_min, n_tail, alpha, max(greatest(abs((cum - n_k + 1) / CAST(n_
 best AS (SELECT * FROM gaps ORDER BY ks, x_min LIMIT 1)"""
 
 
-@query("power_law", S.EDGES, S.GRAPH, S.COMPONENTS + _FIT, select="SELECT x_min, n_tail, round(alpha, 9) AS alpha, round(ks, 9) AS ks FROM best")
+@query("power_law", S.SPARSE, S.GRAPH, S.COMPONENTS + _FIT, select="SELECT x_min, n_tail, round(alpha, 9) AS alpha, round(ks, 9) AS ks FROM best")
 def power_law(spark, sf_dir):
     got = powerlaw.power_law(core.degree_histogram(sparse_giant(spark, sf_dir)))
     return got.withColumns({"alpha": F.round("alpha", 9), "ks": F.round("ks", 9)})
 
 
 @query(
-    "power_law_curve", S.EDGES, S.GRAPH, S.COMPONENTS + _FIT,
+    "power_law_curve", S.SPARSE, S.GRAPH, S.COMPONENTS + _FIT,
     select="""SELECT k, round(s, 9) AS survival, CASE WHEN k >= x_min THEN round(at_min * pow(k / CAST(x_min AS DOUBLE), -(alpha - 1)), 9) END AS fitted
     FROM (SELECT k, CAST(sum(n_k) OVER (ORDER BY k DESC) AS DOUBLE) / sum(n_k) OVER () AS s FROM hist), best,
     (SELECT CAST(sum(n_k) FILTER (WHERE k >= (SELECT x_min FROM best)) AS DOUBLE) / sum(n_k) AS at_min FROM hist)""",
@@ -483,7 +484,7 @@ _BLOCKS = ", part AS (SELECT node, CAST(node AS BIGINT) // 30 AS community FROM
 
 
 @query(
-    "modularity", S.EDGES, S.GRAPH + _BLOCKS,
+    "modularity", S.SPARSE, S.GRAPH + _BLOCKS,
     select="""SELECT round(sum(l / m - (k / (2 * m)) * (k / (2 * m))), 9) AS modularity FROM (SELECT community, sum(l) AS l, sum(k) AS k FROM
     (SELECT a.community, CASE WHEN a.community = b.community THEN weight ELSE 0 END AS l, weight AS k FROM undirected JOIN part a ON a.node = source JOIN part b ON b.node = target
      UNION ALL SELECT b.community, 0, weight FROM undirected JOIN part b ON b.node = target) GROUP BY community), (SELECT sum(weight) AS m FROM undirected)""",
@@ -496,17 +497,17 @@ def modularity(spark, sf_dir):
 _TABLE = "SELECT community, count(*) AS community_size, row_number() OVER (ORDER BY count(*) DESC, community) AS community_rank FROM part GROUP BY community"
 
 
-@query("community_table_fixed", S.EDGES, S.GRAPH + _BLOCKS, select=f"SELECT node, part.community, community_size, community_rank FROM part JOIN ({_TABLE}) t ON t.community = part.community")
+@query("community_table_fixed", S.SPARSE, S.GRAPH + _BLOCKS, select=f"SELECT node, part.community, community_size, community_rank FROM part JOIN ({_TABLE}) t ON t.community = part.community")
 def community_table_fixed(spark, sf_dir):
     return community.community_table(community.fixed_partition(sparse_graph(spark, sf_dir), 30))
 
 
-@query("community_top_sizes", S.EDGES, S.GRAPH + _BLOCKS, select="SELECT community, count(*) AS community_size FROM part GROUP BY community ORDER BY community_size DESC, community LIMIT 20")
+@query("community_top_sizes", S.SPARSE, S.GRAPH + _BLOCKS, select="SELECT community, count(*) AS community_size FROM part GROUP BY community ORDER BY community_size DESC, community LIMIT 20")
 def community_top_sizes(spark, sf_dir):
     return community.top_sizes(community.fixed_partition(sparse_graph(spark, sf_dir), 30))
 
 
-@query("top_degree_hubs", S.EDGES, S.GRAPH, select="SELECT node, degree, strength FROM degrees ORDER BY degree DESC, node LIMIT 15")
+@query("top_degree_hubs", S.SPARSE, S.GRAPH, select="SELECT node, degree, strength FROM degrees ORDER BY degree DESC, node LIMIT 15")
 def top_degree_hubs(spark, sf_dir):
     return rankings.top(core.degrees(sparse_graph(spark, sf_dir)), ["degree"], ["node"])
 
@@ -519,27 +520,68 @@ def self_loops(spark, sf_dir):
 # -- graph: iterations -------------------------------------------------------------------------------------------------
 
 
-@query("core_number")
+#: Rounds that the unrolled SQL takes; further ones change nothing on these graphs.
+_ROUNDS, _DEPTH = 40, 40
+
+
+def _cores() -> str:
+    out = [", c0 AS MATERIALIZED (SELECT node, CAST(count(*) AS BIGINT) AS core FROM gends GROUP BY node)"]
+    for i in range(_ROUNDS):
+        out.append(
+            f"c{i + 1} AS MATERIALIZED (SELECT node, CAST(max(least(c, rn)) AS BIGINT) AS core FROM (SELECT g.node, c.core AS c, row_number() OVER (PARTITION BY g.node ORDER BY c.core DESC) AS rn "
+            f"FROM gends g JOIN c{i} c ON c.node = g.neighbour) GROUP BY node)"
+        )
+    return ", ".join([*out, f"cores AS (SELECT node, core FROM c{_ROUNDS})"])
+
+
+def _levels() -> str:
+    """Breadth first: l_i holds the pairs (root, node) at distance i."""
+    out = [", l0 AS MATERIALIZED (SELECT node AS root, node FROM (SELECT node FROM gnodes ORDER BY md5(node || ':42'), node LIMIT 500))", "l_none AS (SELECT * FROM l0 WHERE FALSE)"]
+    for i in range(_DEPTH):
+        before = f"l{i - 1}" if i else "l_none"
+        out.append(
+            f"l{i + 1} AS MATERIALIZED (SELECT DISTINCT root, neighbour AS node FROM l{i} JOIN gends USING (node) WHERE (root, neighbour) NOT IN (SELECT (root, node) FROM l{i}) "
+            f"AND (root, neighbour) NOT IN (SELECT (root, node) FROM {before}))"
+        )
+    return ", ".join([*out, "far AS (" + " UNION ALL ".join(f"SELECT {i} AS depth, count(*) AS n FROM l{i}" for i in range(1, _DEPTH + 1)) + ")"])
+
+
+def _removal(order: str) -> str:
+    """Giant share after removing the first nodes of an order; alive: (step, node)."""
+    return f""", total AS (SELECT count(*) AS n FROM gnodes), axis AS (SELECT CAST(i AS INTEGER) AS step, CAST(0.6 AS DOUBLE) * i / 24 AS fraction FROM (SELECT unnest(range(25)) AS i)),
+    removal AS (SELECT node, row_number() OVER (ORDER BY {order}) AS place FROM (SELECT node, coalesce(degree, 0) AS degree FROM gnodes LEFT JOIN gdegrees USING (node))),
+    alive AS (SELECT step, node FROM axis, total, removal WHERE place > CAST(floor(fraction * n) AS BIGINT)),
+    links AS (SELECT a.step, a.node, b.node AS neighbour FROM alive a JOIN gends USING (node) JOIN alive b ON b.step = a.step AND b.node = gends.neighbour),
+    spread(step, a, b) AS (SELECT step, node, node FROM alive UNION SELECT spread.step, a, neighbour FROM spread JOIN links ON links.step = spread.step AND links.node = b),
+    biggest AS (SELECT step, max(size) AS size FROM (SELECT step, a, count(*) AS size FROM spread GROUP BY step, a) GROUP BY step)"""
+
+
+_CURVE = "SELECT step, round(fraction, 9) AS fraction, round(CAST(coalesce(size, 0) AS DOUBLE) / n, 9) AS giant_fraction FROM axis LEFT JOIN biggest USING (step), total"
+_DENSE_GIANT = [S.DENSE, S.GRAPH, S.COMPONENTS]
+_SPARSE_GIANT = [S.SPARSE, S.GRAPH, S.COMPONENTS]
+
+
+@query("core_number", *_DENSE_GIANT[:2], S.COMPONENTS + _cores(), select="SELECT node, core FROM cores")
 def core_number(spark, sf_dir):
     return dense_cores(spark, sf_dir)
 
 
-@query("core_sizes")
+@query("core_sizes", *_DENSE_GIANT[:2], S.COMPONENTS + _cores(), select="SELECT k, (SELECT count(*) FROM cores WHERE core >= k) AS size FROM (SELECT unnest(range(0, (SELECT max(core) FROM cores) + 1)) AS k)")
 def core_sizes(spark, sf_dir):
     return kcore.core_sizes(dense_cores(spark, sf_dir))
 
 
-@query("core_histogram")
+@query("core_histogram", *_DENSE_GIANT[:2], S.COMPONENTS + _cores(), select="SELECT value, (SELECT count(*) FROM cores WHERE core = value) AS n FROM (SELECT unnest(range(0, (SELECT max(core) FROM cores) + 1)) AS value)")
 def core_histogram(spark, sf_dir):
     return profile.integer_histogram(dense_cores(spark, sf_dir), "core")
 
 
-@query("core_nucleus")
+@query("core_nucleus", *_DENSE_GIANT[:2], S.COMPONENTS + _cores(), select="SELECT core AS k_max, count(*) AS size FROM cores GROUP BY core ORDER BY core DESC LIMIT 1")
 def core_nucleus(spark, sf_dir):
     return kcore.nucleus(dense_cores(spark, sf_dir))
 
 
-@query("path_length")
+@query("path_length", *_DENSE_GIANT[:2], S.COMPONENTS + _levels(), select="SELECT CAST(sum(depth * n) AS BIGINT) AS distance, CAST(sum(n) AS BIGINT) AS pairs, CAST(sum(depth * n) AS DOUBLE) / sum(n) AS mean_path FROM far")
 def path_length(spark, sf_dir):
     return paths.mean_path_length(dense_giant(spark, sf_dir))
 
@@ -580,7 +622,7 @@ def louvain_modularity(spark, sf_dir):
     return community.modularity(g, dense_communities(spark, sf_dir))
 
 
-@query("random_graph")
+@query("random_graph", *_SPARSE_GIANT, select="SELECT n_nodes, n_edges, 2.0 * n_edges / (CAST(n_nodes AS DOUBLE) * (n_nodes - 1)) AS density FROM (SELECT (SELECT count(*) FROM gnodes) AS n_nodes, (SELECT count(*) // 2 FROM gends) AS n_edges)")
 def random_graph_(spark, sf_dir):
     g = sparse_giant(spark, sf_dir)
     return core.counts(random_graph.gnm(spark, g.vertices.count(), g.edges.count()))
@@ -591,13 +633,13 @@ def small_world(spark, sf_dir):
     return random_graph.small_world(core.giant(dense_graph(spark, sf_dir)).without_loops())
 
 
-@query("robustness_attack")
+@query("robustness_attack", *_SPARSE_GIANT[:2], S.COMPONENTS + _removal("degree DESC, node"), select=_CURVE)
 def robustness_attack(spark, sf_dir):
     g = sparse_giant(spark, sf_dir)
     return robustness.giant_fraction_curve(g, robustness.attack_order(g))
 
 
-@query("robustness_random")
+@query("robustness_random", *_SPARSE_GIANT[:2], S.COMPONENTS + _removal("md5(node || ':1'), node"), select=_CURVE)
 def robustness_random(spark, sf_dir):
     g = sparse_giant(spark, sf_dir)
     return robustness.giant_fraction_curve(g, robustness.failure_order(g))
@@ -633,7 +675,80 @@ def antenna_flow(spark, sf_dir):
     return spatial.antenna_flow(antenna_edges(spark, sf_dir))
 
 
-@query("antenna_communities", S.EDGES, S.GRAPH + _BLOCKS, S.RESIDENCES, S.ANTENNAS + _MODE, select="SELECT antenna_id, community, count(*) AS people FROM part JOIN user_antenna ON user_id = node GROUP BY 1, 2")
+@query("antenna_communities", S.SPARSE, S.GRAPH + _BLOCKS, S.RESIDENCES, S.ANTENNAS + _MODE, select="SELECT antenna_id, community, count(*) AS people FROM part JOIN user_antenna ON user_id = node GROUP BY 1, 2")
 def antenna_communities(spark, sf_dir):
     parts = community.fixed_partition(sparse_graph(spark, sf_dir), 30)
-    return spatial.antenna_communities(parts, edges.user_antenna_mode(antenna_edges(spark, sf_dir)))
+    return spatial.antenna_communities(parts, edges.user_antenna_mode(antenna_edges(spark, sf_dir, "sparse")))
+
+
+# -- stores ------------------------------------------------------------------------------------------------------------
+
+
+@query("edges_reload", S.EDGES, select="SELECT id_emisor, id_receiver, q_calls, residence_distance_km, calls_duration_total, round(avg_duration_per_call, 8) AS avg_duration_per_call FROM edges")
+def edges_reload(spark, sf_dir):
+    """S2, S4, S5, S8-S10. Written once, then read again with the declared schema."""
+    path = scratch_path(spark, "edges")
+    for _ in range(2):
+        out = tables.reload(spark, path, tables.EDGES, lambda: fixtures.edges(spark, sf_dir))
+    return out.withColumn("avg_duration_per_call", F.round("avg_duration_per_call", 8))
+
+
+@query("residences_csv", S.EDGES, S.RESIDENCES, select="SELECT ID, residence_geometry, residence_city, residence_quintile_state, residence_quintile_nation FROM residences")
+def residences_csv(spark, sf_dir):
+    """S1, S6, S7, P13. Residences through CSV, a helper column left out."""
+    city = tables.CityConfig("test", "emitters.parquet", scratch_path(spark, "city"))
+    tables.write_csv(fixtures.residences(spark, sf_dir).withColumn("helper", F.lit(1)), city.path(city.residences_file), drop=("helper",))
+    return tables.read_residences(spark, city.path(city.residences_file))
+
+
+@query("table_presence", select="SELECT name, name <> 'calls' AS present FROM (VALUES ('customer'), ('orders'), ('lineitem'), ('calls')) AS t(name)")
+def table_presence(spark, sf_dir):
+    """S2."""
+    rows = [(t, tables.exists(spark, f"{sf_dir}/{t}.parquet")) for t in ("customer", "orders", "lineitem", "calls")]
+    return spark.createDataFrame(rows, "name string, present boolean")
+
+
+@query("pareto_top", S.EDGES, S.EMITTERS, select="SELECT id_emisor, total_calls_make, row_number() OVER (ORDER BY total_calls_make DESC, id_emisor) AS rank FROM emitters ORDER BY rank LIMIT 10")
+def pareto_top(spark, sf_dir):
+    """T5."""
+    return rankings.pareto_curve(fixtures.emitters(spark, sf_dir)).orderBy("rank").limit(10).select("id_emisor", "total_calls_make", "rank")
+
+
+@query("rebuilt_network", S.EDGES, S.RESIDENCES, S.ANTENNAS.replace("edges_antenna AS (", "placed AS ("), S.GRAPH.replace("FROM edges GROUP", "FROM placed GROUP"), select="SELECT n_nodes, n_edges, round(2.0 * n_edges / (n_nodes * (n_nodes - 1)), 12) AS density FROM (SELECT count(*) AS n_nodes FROM nodes), (SELECT count(*) AS n_edges FROM undirected)")
+def rebuilt_network(spark, sf_dir):
+    """D1. From the written edge table with antennas to the graph."""
+    path = scratch_path(spark, "edges_antenna")
+    read = tables.reload(spark, path, tables.EDGES_ANTENNA, lambda: antenna_edges(spark, sf_dir))
+    g = core.Graph.from_edges(materialize(edges.undirected_edges(read), "undirected"))
+    return core.counts(g).withColumn("density", F.round("density", 12))
+
+
+#: Points (1, 2), with an SRID (-3.5, 0.25), and a line, which has no point.
+_WKB = ["0101000000000000000000F03F0000000000000040", "0101000020E61000000000000000000CC0000000000000D03F", "010200000000000000"]
+
+
+@query("geometry_points", select="SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN 1.0 WHEN 1 THEN -3.5 END::DOUBLE AS x, CASE n_nationkey % 4 WHEN 0 THEN 2.0 WHEN 1 THEN 0.25 END::DOUBLE AS y FROM nation")
+def geometry_points(spark, sf_dir):
+    """D2."""
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey")
+    texts = nations.withColumn("text", F.element_at(F.array(*[F.lit(x) for x in _WKB], F.lit(None).cast("string")), (F.col("n_nationkey") % 4 + 1).cast("int")))
+    return texts.select("n_nationkey", spatial.wkb_point("text").alias("p")).select("n_nationkey", "p.x", "p.y")
+
+
+@query(
+    "nearest_antenna",
+    select="""SELECT id, antenna_id FROM (SELECT c_custkey AS id, s_suppkey AS antenna_id, row_number() OVER (PARTITION BY c_custkey ORDER BY (s_suppkey * 7 % 97 - c_custkey % 97) * (s_suppkey * 7 % 97 - c_custkey % 97)
+    + (s_suppkey * 13 % 89 - c_custkey % 89) * (s_suppkey * 13 % 89 - c_custkey % 89), s_suppkey) AS rn FROM customer, supplier) WHERE rn = 1""",
+)
+def nearest_antenna(spark, sf_dir):
+    """D3."""
+    points = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 97).cast("double").alias("x"), (F.col("c_custkey") % 89).cast("double").alias("y"))
+    antennas = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("antenna_id"), (F.col("s_suppkey") * 7 % 97).cast("double").alias("x"), (F.col("s_suppkey") * 13 % 89).cast("double").alias("y"))
+    return spatial.nearest_antenna(points, antennas)
+
+
+@query("hub_antennas", S.SPARSE, S.GRAPH, S.RESIDENCES, S.ANTENNAS + _MODE, select="SELECT node, degree, antenna_id FROM (SELECT node, degree FROM degrees ORDER BY degree DESC, node LIMIT 15) LEFT JOIN user_antenna ON user_id = node")
+def hub_antennas(spark, sf_dir):
+    """D4."""
+    hubs = rankings.top(core.degrees(sparse_graph(spark, sf_dir)), ["degree"], ["node"]).select("node", "degree")
+    return spatial.hub_antennas(hubs, edges.user_antenna_mode(antenna_edges(spark, sf_dir, "sparse")))

@@ -3,21 +3,28 @@
 from __future__ import annotations
 
 
-def _edges(name: str, condition: str) -> str:
+FAR = "(l_partkey * 7 + l_suppkey * 13) % (SELECT count(*) FROM customer)"
+BLOCK = "(o_custkey // 30) * 30"
+
+
+def _edges(receiver: str) -> str:
     return f"""
-{name}_pairs AS (
-  SELECT o_custkey AS s, CASE WHEN l_linenumber <= 5 THEN (o_custkey // 30) * 30 + ((l_partkey % 30) * (l_partkey % 30)) // 30
-                              ELSE (l_partkey * 7 + l_suppkey * 13) % (SELECT count(*) FROM customer) END AS r,
+edges_pairs AS (
+  SELECT o_custkey AS s, {receiver} AS r,
          CAST(sum(l_linenumber) AS BIGINT) AS q, round(sum(l_extendedprice), 2) AS duration,
          min(round(l_tax * CAST(100.0 AS DOUBLE) + l_discount * CAST(50.0 AS DOUBLE), 4)) AS km
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE {condition} GROUP BY 1, 2),
-{name} AS (
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
+edges AS (
   SELECT CAST(s AS VARCHAR) AS id_emisor, CAST(r AS VARCHAR) AS id_receiver, q AS q_calls, km AS residence_distance_km,
-         duration AS calls_duration_total, duration / q AS avg_duration_per_call FROM {name}_pairs)"""
+         duration AS calls_duration_total, duration / q AS avg_duration_per_call FROM edges_pairs)"""
 
 
-EDGES = _edges("edges", "l_quantity = 50")
-DENSE = _edges("edges", "l_quantity >= 47")
+EDGES = _edges(f"CASE WHEN l_linenumber <= 5 THEN {BLOCK} + ((l_partkey % 30) * (l_partkey % 30)) // 30 ELSE {FAR} END")
+SPARSE = _edges(
+    f"""CASE WHEN l_linenumber = 7 AND l_partkey % 200 = 0 THEN {FAR} WHEN l_partkey % 2 = 0 THEN {BLOCK} + (o_custkey % 30) // 2
+                                    ELSE {BLOCK} + ((o_custkey % 30) * (o_custkey % 30)) // 30 END"""
+)
+DENSE = _edges(f"CASE WHEN l_linenumber > 5 AND l_partkey % 8 = 0 THEN {FAR} ELSE {BLOCK} + ((l_partkey % 6) * (l_partkey % 6) * 25) // 30 END")
 EMITTERS = """
 emitters AS (
   SELECT CAST(c_custkey AS VARCHAR) AS id_emisor, c_custkey AS key, CAST(coalesce(sum(q), 0) AS BIGINT) AS total_calls_make,
@@ -68,7 +75,7 @@ hist AS (SELECT degree AS k, count(*) AS n_k FROM gdegrees GROUP BY degree)"""
 
 
 def with_(*parts: str, select: str) -> str:
-    return "WITH RECURSIVE " + ",".join(parts) + "\n" + select.strip()
+    return ("WITH RECURSIVE " + ",".join(parts) + "\n" if parts else "") + select.strip()
 
 
 def describe(table: str, columns: list[str], percentiles: list[float]) -> str:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from callnet.functions.ordering import ranked
 from callnet.functions.scalars import safe_ratio
 
 
@@ -12,21 +13,29 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _pairs(spark: SparkSession, sf_dir: str, dense: bool) -> DataFrame:
+#: The receiver of a line (block: the caller's 30 customers). `calls`: many receivers in the block and long-range ties; `sparse`: two receivers in the block and
+#: few long-range ties, so that there are several components; `dense`: five receivers in the block, all of it connected by long-range ties.
+_FAR = "(l_partkey * 7 + l_suppkey * 13) % n"
+RECEIVERS = {
+    "calls": f"CASE WHEN l_linenumber <= 5 THEN block + ((l_partkey % 30) * (l_partkey % 30)) div 30 ELSE {_FAR} END",
+    "sparse": f"CASE WHEN l_linenumber = 7 AND l_partkey % 200 = 0 THEN {_FAR} WHEN l_partkey % 2 = 0 THEN block + (o_custkey % 30) div 2 ELSE block + ((o_custkey % 30) * (o_custkey % 30)) div 30 END",
+    "dense": f"CASE WHEN l_linenumber > 5 AND l_partkey % 8 = 0 THEN {_FAR} ELSE block + ((l_partkey % 6) * (l_partkey % 6) * 25) div 30 END",
+}
+
+
+def _pairs(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     n = _read(spark, sf_dir, "customer").agg(F.count(F.lit(1)).alias("n"))
-    lines = _read(spark, sf_dir, "lineitem").where("l_quantity >= 47" if dense else "l_quantity = 50")
-    lines = lines.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_discount", "l_tax")
+    lines = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_discount", "l_tax")
     joined = lines.join(_read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    near = F.expr("(o_custkey div 30) * 30 + ((l_partkey % 30) * (l_partkey % 30)) div 30")
-    far = F.expr("l_partkey * 7 + l_suppkey * 13") % n.scalar()
-    joined = joined.select(F.col("o_custkey").alias("s"), F.when(F.col("l_linenumber") <= 5, near).otherwise(far).alias("r"), "l_linenumber", "l_extendedprice", "l_discount", "l_tax")
+    joined = joined.withColumns({"block": F.expr("(o_custkey div 30) * 30"), "n": n.scalar()})
+    joined = joined.select(F.col("o_custkey").alias("s"), F.expr(RECEIVERS[kind]).alias("r"), "l_linenumber", "l_extendedprice", "l_discount", "l_tax")
     return joined.groupBy("s", "r").agg(
         F.sum("l_linenumber").cast("long").alias("q"), F.round(F.sum("l_extendedprice"), 2).alias("duration"), F.min(F.round(F.expr("l_tax * 100.0D + l_discount * 50.0D"), 4)).alias("km")
     )
 
 
-def edges(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFrame:
-    p = _pairs(spark, sf_dir, dense)
+def edges(spark: SparkSession, sf_dir: str, kind: str = "calls") -> DataFrame:
+    p = _pairs(spark, sf_dir, kind)
     return p.select(
         F.col("s").cast("string").alias("id_emisor"), F.col("r").cast("string").alias("id_receiver"), F.col("q").alias("q_calls"), F.col("km").alias("residence_distance_km"),
         F.col("duration").alias("calls_duration_total"), safe_ratio(F.col("duration"), F.col("q")).alias("avg_duration_per_call"),
@@ -34,7 +43,7 @@ def edges(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFrame:
 
 
 def emitters(spark: SparkSession, sf_dir: str, dirty: bool = False) -> DataFrame:
-    p = _pairs(spark, sf_dir, False)
+    p = _pairs(spark, sf_dir, "calls")
     lists = p.groupBy("s").agg(F.array_sort(F.collect_list(F.struct("r", "q", "km", "duration"))).alias("l"), F.sum("q").alias("total"))
     out = _read(spark, sf_dir, "customer").select("c_custkey").join(lists, F.col("c_custkey") == F.col("s"), "left")
     part = lambda c, kind: F.coalesce(F.transform("l", lambda x: x[c].cast(kind)), F.array().cast(f"array<{kind}>"))
@@ -55,9 +64,21 @@ def residences(spark: SparkSession, sf_dir: str) -> DataFrame:
     people = _read(spark, sf_dir, "customer").where("c_custkey % 13 <> 0").select("c_custkey", "c_nationkey", "c_acctbal")
     nation, region = _read(spark, sf_dir, "nation"), _read(spark, sf_dir, "region")
     j = people.join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
-    order = ["c_acctbal", "c_custkey"]
-    return j.select(
+    nation_wide = ranked(j.select("c_custkey", "c_acctbal", "r_name"), [F.col("c_acctbal"), F.col("c_custkey")], rank="place")
+    by_state = ranked(nation_wide, [F.col("r_name"), F.col("c_acctbal"), F.col("c_custkey")], rank="in_states")
+    # customers per region: as many rows as regions
+    sizes = by_state.groupBy("r_name").agg(F.count(F.lit(1)).alias("n_state"), (F.min("in_states") - 1).alias("before"))
+    total = sizes.agg(F.sum("n_state")).scalar()
+    placed = by_state.join(F.broadcast(sizes), "r_name").select("c_custkey", "r_name", _tile(F.col("in_states") - F.col("before"), F.col("n_state")).alias("state"), _tile(F.col("place"), total).alias("nation"))
+    return placed.select(
         F.col("c_custkey").cast("string").alias("ID"), F.when(F.col("c_custkey") % 97 != 0, F.concat(F.lit("cell_"), F.expr("c_custkey div 30").cast("string"))).alias("residence_geometry"), F.col("r_name").alias("residence_city"),
-        F.concat(F.lit("q"), F.ntile(5).over(Window.partitionBy("r_name").orderBy(*order)).cast("string")).alias("residence_quintile_state"),
-        F.concat(F.lit("q"), F.ntile(5).over(Window.orderBy(*order)).cast("string")).alias("residence_quintile_nation"),
+        F.concat(F.lit("q"), F.col("state").cast("string")).alias("residence_quintile_state"), F.concat(F.lit("q"), F.col("nation").cast("string")).alias("residence_quintile_nation"),
     )
+
+
+def _tile(place: Column, n: Column, tiles: int = 5) -> Column:
+    """The tile of a 1-based place among n: the first n mod tiles tiles hold one more."""
+    small = F.floor(n / tiles)
+    more = n % tiles
+    large = more * (small + 1)
+    return F.when(place <= large, F.ceil(place / (small + 1))).otherwise(more + F.ceil((place - large) / F.greatest(small, F.lit(1)))).cast("long")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +44,20 @@ def exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
 
 
+def stamp(spark: SparkSession, path: str) -> tuple[int, int]:
+    """(modification time, length in bytes) of a file or folder."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.getFileStatus(hadoop).getModificationTime(), fs.getContentSummary(hadoop).getLength()
+
+
+def reload(spark: SparkSession, path: str, schema: T.StructType, build: Callable[[], DataFrame]) -> DataFrame:
+    """S10. What is at `path` if a write of it has ended; otherwise it is built and written first."""
+    if not exists(spark, f"{path}/_SUCCESS"):
+        write_parquet(build(), path)
+    return read_parquet(spark, path, schema)
+
+
 def read_parquet(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """S4, S5. A declared schema: no inference, and stray index columns of other writers are not read."""
     return spark.read.schema(schema).parquet(path)

@@ -120,5 +120,31 @@ def test_points_of_wkb_and_nearest_antenna(spark):
     ants = spark.createDataFrame([(1, 0.0, 0.0), (2, 10.0, 0.0)], "antenna_id long, x double, y double")
     points = spark.createDataFrame([("a", 4.0, 1.0), ("b", 5.0, 0.0), ("c", 9.0, 9.0)], "id string, x double, y double")
     assert {r.id: r.antenna_id for r in spatial.nearest_antenna(points, ants).collect()} == {"a": 1, "b": 1, "c": 2}
-    with pytest.raises(ValueError):
-        spatial.nearest_antenna(points, ants, limit=1)
+    assert {r.id: r.antenna_id for r in spatial.nearest_antenna(points, ants, block=1).collect()} == {"a": 1, "b": 1, "c": 2}  # several blocks
+    assert {r.antenna_id for r in spatial.nearest_antenna(points, ants.limit(0)).collect()} == {None}
+
+
+def test_quantiles_against_sorted_lists(spark):
+    import random
+    from statistics import quantiles as cut
+
+    from callnet.functions.ordering import quantiles
+
+    rng = random.Random(5)
+    rows = [(rng.choice("abc"), rng.choice([None, 1.0, 2.0, rng.random()])) for _ in range(400)] + [("one", 7.0), ("none", None), (None, 1.0)]
+    got = {r.g: r.p for r in quantiles(spark.createDataFrame(rows, "g string, v double"), "g", "v", (0.0, 0.25, 0.5, 0.75, 1.0)).collect()}
+    assert set(got) == {"a", "b", "c", "one"} and got["one"] == [7.0] * 5
+    for g in "abc":
+        own = [v for x, v in rows if x == g and v is not None]
+        assert got[g] == pytest.approx([min(own), *cut(own, n=4, method="inclusive"), max(own)])
+
+
+def test_repeated_residence_ids_are_an_error(spark):
+    from callnet.operators import residence
+
+    kept = "ID string, residence_geometry string, residence_city string, residence_quintile_state string, residence_quintile_nation string"
+    e = spark.createDataFrame([("1", "2", 3)], "id_emisor string, id_receiver string, q_calls long")
+    homes = [("1", "g", "c", "q1", "q1"), ("2", "g", "c", "q1", "q1")]
+    assert residence.edges_with_antennas(e, spark.createDataFrame(homes, kept)).count() == 1
+    with pytest.raises(Exception, match="repeated residence ID"):
+        residence.edges_with_antennas(e, spark.createDataFrame([*homes, ("2", "h", "c", "q1", "q1")], kept)).collect()
