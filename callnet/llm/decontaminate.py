@@ -8,11 +8,12 @@ An item is covered by the share of its words in tiles; a document is contaminate
 with fewer than `min_run` words are matched as one run.
 
 Candidates come from shared seeds: the hashes of all runs of `min_run` words of the items are looked up among those of each document, in
-blocks of items of at most `BLOCK_SEEDS` seeds (a bounded broadcast; one scan per block), never sampled. Documents stay where they are:
+blocks of items of some `BLOCK_BYTES` of text, never sampled. The blocks are counted by a job; the driver reads and broadcasts one at a time, and with several of
+them each pass over the documents is written before the next, so no more than a block is ever held. Documents stay where they are:
 there is no shuffle of text and no pair of rows is joined.
 
 Defined results: null texts count as empty; an empty item covers nothing. Repeated rows get equal results; rows with null ids
-are processed, a null item_id is reported as such. Extra columns are passed through by `drop_contaminated`.
+are processed, a null item_id is reported as such; equal items count once. No items overlap with nothing. Extra columns are passed through by `drop_contaminated`.
 """
 
 from __future__ import annotations
@@ -26,10 +27,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from callnet.llm.common import fresh, read_table
+from callnet.llm.common import discard, fresh, materialize, read_table
 
 MIN_RUN, COVERAGE = 5, 0.8
-BLOCK_SEEDS = 1_000_000
+BLOCK_BYTES = 8 << 20
 
 
 def _windows(words: np.ndarray, size: int) -> np.ndarray:
@@ -93,21 +94,28 @@ def tiles(item: np.ndarray, doc: np.ndarray, min_run: int = MIN_RUN) -> list[tup
         size = max(least, size // 2)
 
 
-def _prepare(rows: list[tuple[int | None, str]], min_run: int) -> list[list[tuple[int | None, np.ndarray]]]:
-    """Items as word hashes, in blocks of at most BLOCK_SEEDS words."""
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
+    """The distinct items in blocks, each read when it is asked for."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
+    size = items.agg(F.sum(F.octet_length("text").cast("long"))).first()[0]
+    if size is None:
+        return
+    blocks = max(1, -(-size // BLOCK_BYTES))
+    for b in range(blocks):
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else items
+        rows = sorted(((r["item_id"], r["text"]) for r in part.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+        if rows:
+            yield rows
+
+
+def _hashed(rows: list[tuple[int | None, str]]) -> list[tuple[int | None, np.ndarray]]:
+    """Items as word hashes."""
     from callnet.llm.wordhash import word_blocks
 
-    blocks, size = [[]], 0
     items = []
-    for block in word_blocks(pa.array([t or "" for _, t in rows], pa.string())):
-        items += [block.hash[a:b] for a, b in zip(block.words[:-1], block.words[1:], strict=True)]
-    for (item_id, _), words in zip(rows, items, strict=True):
-        if size + len(words) > BLOCK_SEEDS and blocks[-1]:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((item_id, words.copy()))
-        size += len(words)
-    return blocks
+    for block in word_blocks(pa.array([t for _, t in rows], pa.string())):
+        items += [block.hash[a:b].copy() for a, b in zip(block.words[:-1], block.words[1:], strict=True)]
+    return [(i, words) for (i, _), words in zip(rows, items, strict=True)]
 
 
 class _Seeds:
@@ -180,14 +188,18 @@ RESULT = "array<struct<item_id:bigint,coverage:double,tiles:array<struct<length:
 def overlaps(docs: DataFrame, benchmark: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     """docs with one column more, `overlaps`: the items that share a run with the text, with coverage and tiles (word positions)."""
     spark = docs.sparkSession
-    rows = benchmark.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit(""))).toLocalIterator()
-    blocks = _prepare([(r[0], r[1]) for r in rows], min_run)
     name = fresh(docs, "overlaps")
     kind = T._parse_datatype_string(RESULT)
     arrow = pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64()), ("tiles", pa.list_(pa.struct([("length", pa.int32()), ("item_start", pa.int32()), ("doc_start", pa.int32())])))]))
     out = docs.withColumn(name, F.array().cast(kind))
-    for items in blocks:
-        sent = spark.sparkContext.broadcast(pickle.dumps(items))
+    written = sent = None
+    for k, rows in enumerate(_blocks(benchmark)):
+        if k:
+            before, written = written, materialize(out, "overlaps")
+            out = written
+            discard(before)
+            sent.destroy()
+        sent = spark.sparkContext.broadcast(pickle.dumps(_hashed(rows)))
         at, last = out.columns.index("text"), len(out.columns) - 1
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, at=at, last=last, schema=out.schema) -> Iterator[pa.RecordBatch]:

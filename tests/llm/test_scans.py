@@ -100,6 +100,42 @@ def test_fingerprint_is_of_the_sparsest_lexicons(spark):
     assert [r[0] for r in alike] == [1.0, 0.0, 0.0]
 
 
+def spark_hash(*values):
+    """xxhash64 of 64-bit integers as Spark chains it: each value's hash is the next one's seed."""
+    import xxhash
+
+    seed = 42
+    for v in values:
+        seed = xxhash.xxh64_intdigest((v % (1 << 64)).to_bytes(8, "little"), seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def test_fingerprint_hashes_against_a_plain_loop(spark):
+    """With the whole band: per part the terms of the sparsest lexicon that holds one of the text's, hashed in order."""
+    from math import floor, log2
+
+    rng = random.Random(21)
+    texts = [prose(rng, n) for n in (1, 3, 40, 400)] + ["", "!", "x"]
+    full = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("bits", F.array_repeat(F.lit(-1).cast("long"), 1 << (imatch.BITS - 6)))
+    for row in full.select("text", imatch.fingerprint(F.col("text"), F.col("bits")).alias("f"), imatch.term_hashes(F.col("text")).alias("h")).collect():
+        parts = {}
+        for h in sorted(x & ~(3 << 56) for x in row.h):
+            parts.setdefault(h >> 58, []).append(h)
+        want = ""
+        for i in range(-32, 32):
+            if i not in parts:
+                want += "----"
+                continue
+            low = parts[i][0] & ((1 << 56) - 1)
+            level = min(4 ** (floor(log2(max(low, 1)) / 2) + 1), 1 << 56)  # a lexicon holds the ranks below a power of four
+            hashed = spark_hash(parts[i][0])
+            for h in parts[i][1:]:
+                if h & ((1 << 58) - 1) < level:
+                    hashed = spark_hash(hashed, h)
+            want += f"{hashed & 0xFFFF:04x}"
+        assert row.f == want
+
+
 def test_large_groups_of_copies_and_near_copies_keep_their_likeness(documents):
     """Groups of a third of the rows, whose words are in no band."""
     rng = random.Random(15)
@@ -167,7 +203,7 @@ def test_reordered_passages_are_caught_and_clean_documents_stay(spark, documents
     assert found == {0: set(), 1: {0}, 2: set(), 3: {1}, 4: {2}, 5: set(), 6: set(), 7: {1}}
     kept = decontaminate.drop_contaminated(docs, bench)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {0, 2, 5, 6}
-    monkeypatch.setattr(decontaminate, "BLOCK_SEEDS", 20)  # the same in several blocks of items
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 60)  # the same in several blocks of items
     assert {r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()} == {0, 2, 5, 6}
     assert decontaminate.drop_contaminated(docs, bench.limit(0)).count() == len(texts)
     assert decontaminate.overlaps(documents([]), bench).count() == 0
@@ -242,6 +278,43 @@ def test_any_passage_of_50_words_keeps_whole_chunks():
         assert whole_words(passage, *sides) >= chunk_dedup.MIN_WORDS
 
 
+def test_spans_against_counted_chunks(documents):
+    """Chunks of each text by itself, counted as byte strings over the distinct documents."""
+    rng = random.Random(18)
+    shared = [prose(rng, 60) for _ in range(4)]
+    texts = []
+    for _ in range(40):
+        parts = [prose(rng, rng.randint(0, 60))] + [x for x in rng.sample(shared, rng.randint(0, 3))] + [prose(rng, rng.randint(0, 30))]
+        texts.append(" ".join(parts))
+    texts += [texts[0], texts[1] + " end", None, "", "é " * 90 + shared[0], shared[1].upper()]
+    cut = []
+    for t in texts:
+        raw = (t or "").encode()
+        data = np.frombuffer(raw, dtype=np.uint8)
+        blank = np.isin(data, [9, 10, 11, 12, 13, 32])
+        begins = ~blank & np.append(True, blank[:-1])[: len(data)]
+        ends = chunk_dedup.boundaries(data, np.array([0, len(data)]), begins).tolist() if raw else []
+        cut.append([(a, b, raw[a:b], int(begins[a:b].sum())) for a, b in zip([0, *ends], ends, strict=False)])
+    where = {}
+    for i, own in enumerate(cut):
+        for _, _, piece, _ in own:
+            where.setdefault(piece, set()).add(i)
+    got = {r.doc_id: r for r in chunk_dedup.report(documents(texts)).collect()}
+    some = 0
+    for i, own in enumerate(cut):
+        spans, run = [], []
+        for chunk in [*own, None]:
+            if chunk is not None and len(where[chunk[2]]) > 1:
+                run.append(chunk)
+                continue
+            if sum(c[3] for c in run) >= chunk_dedup.MIN_WORDS:
+                spans.append((run[0][0], run[-1][1]))
+            run = []
+        assert got[i].spans == ",".join(f"{a}:{b}" for a, b in spans)
+        some += len(spans)
+    assert some > 20
+
+
 def test_short_and_periodic_passages_are_found_in_all_their_documents(documents):
     rng = random.Random(17)
     passages = [prose(rng, 51) for _ in range(200)] + ["| " * 60, "ha " * 70, "ab cd " * 40]
