@@ -3,9 +3,11 @@
 Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased. Of each template the hashes of all runs of `K` words are
 winnowed: of every `WINDOW` neighbouring hashes the least is kept (Schleimer et al. 2003), so any run of K + WINDOW - 1 words that a
 text shares with a template holds a kept one. The index maps a kept hash to (template, position); it depends on the templates
-only and is broadcast. The hashes of all runs of K words of each whole text are looked up. Hits of a template on
+only and is broadcast. Of templates of fewer than `SHORT` words all runs of `SHORT_K` words that hold a decisive word are in it instead, so a notice with a changed
+word is found. The hashes of all runs of each whole text are looked up. Hits of a template on
 neighbouring diagonals make a candidate region; within `BAND` words of its diagonal (a quarter of a short template) a longest common
-subsequence aligns template and text. A region counts if the aligned words cover `COVERAGE` of the template; of regions that
+subsequence aligns template and text. A region counts if the aligned words cover `COVERAGE` of the template and, for templates of fewer than `STRICT` words, the
+decisive words in it (`DECISIVE`: versions, variants, names of licenses) are those of the template in the same order: "version 2" is no version 3, and BY-NC-SA no BY-NC. Of regions that
 overlap in the text the one with more aligned words stays.
 
 Defined results: null or empty texts have no matches. Repeated rows get equal results. Templates shorter than K words are indexed as
@@ -25,10 +27,40 @@ from pyspark.sql import functions as F
 from callnet.llm.common import read_table
 
 K, WINDOW, BAND, COVERAGE = 4, 3, 16, 0.8
+SHORT, SHORT_K, STRICT = 20, 3, 60
+
+# Words that tell one license from another.
+DECISIVE = (
+    "0 1 2 3 4 affero apache boost bsd by cc cc0 eclipse general gnu isc lesser mit mozilla mpl nc nd sa unencumbered zlib"
+).split()
+
+_CC = ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND")
+_GNU = (("gpl", "General", ("2.0", "3.0")), ("lgpl", "Lesser General", ("2.1", "3.0")), ("agpl", "Affero General", ("3.0",)))
+_NAMED = (("mit", "MIT"), ("isc", "ISC"), ("bsd-2-clause", "BSD 2-Clause"), ("bsd-3-clause", "BSD 3-Clause"))
+_BSD_START = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+    "conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+    "following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
+    "following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
+_BSD_THIRD = (
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+    "without specific prior written permission. "
+)
+_BSD_END = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, "
+    "THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS "
+    "BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE "
+    "GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT "
+    "LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
 
 # Texts of public license notices.
 TEMPLATES = {
-    "apache-2.0-line": "Licensed under the Apache License, Version 2.0",
+    **{f"apache-{v}-line": f"Licensed under the Apache License, Version {v}" for v in ("1.1", "2.0")},
+    **{f"{k}-line": f"Released under the {name} License" for k, name in _NAMED},
+    **{f"cc-{k.lower()}-{v}-line": f"Licensed under CC {k} {v}" for k in _CC for v in ("3.0", "4.0")},
+    **{f"{k}-{v}-line": f"This work is licensed under the GNU {name} Public License, version {v.removesuffix('.0')}" for k, name, versions in _GNU for v in versions},
     "apache-2.0-header": (
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. "
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 "
@@ -36,33 +68,41 @@ TEMPLATES = {
         "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. "
         "See the License for the specific language governing permissions and limitations under the License."
     ),
-    "mit-line": "Released under the MIT License",
     "mit": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
         "(the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, "
         "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
         "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or "
         "substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING "
-        "BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."
-    ),
-    "gpl-3.0-line": "This work is licensed under the GNU General Public License, version 3",
-    "gpl-notice": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as "
-        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+        "BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY "
+        "CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE "
+        "SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
     ),
+    **{
+        f"{k}-{v}-or-later": (
+            f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {name} Public License as "
+            f"published by the Free Software Foundation, either version {v.removesuffix('.0')} of the License, or (at your option) any later version."
+        )
+        for k, name, versions in _GNU
+        for v in versions
+    },
     "isc": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided "
-        "that the above copyright notice and this permission notice appear in all copies."
+        "that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL "
+        "WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR "
+        "ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION "
+        "OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
+    "bsd-2-clause": _BSD_START + _BSD_END,
+    "bsd-3-clause": _BSD_START + _BSD_THIRD + _BSD_END,
+    "mpl-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
+        "You can obtain one at http://mozilla.org/MPL/2.0/."
     ),
-    "bsd-2-clause": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
-        "conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the "
-        "following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
-        "following disclaimer in the documentation and/or other materials provided with the distribution."
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this "
+        "software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
     ),
-    "cc-by-4.0-line": "Licensed under CC BY 4.0",
-    "cc-by-sa-4.0-line": "Licensed under CC BY-SA 4.0",
-    "cc-by-nc-4.0-line": "Licensed under CC BY-NC 4.0",
 }
 
 
@@ -96,17 +136,26 @@ class Index:
         self.words: list[np.ndarray] = []
         for block in word_blocks(pa.array(list(templates.values())), "alnum"):
             self.words += [block.hash[a:b].copy() for a, b in zip(block.words[:-1], block.words[1:], strict=True)]
+        self.decisive = np.unique(next(iter(word_blocks(pa.array([" ".join(DECISIVE)]), "alnum"))).hash)
         found: dict[int, list[tuple[int, int, int]]] = {}
         for t, words in enumerate(self.words):
-            k = min(K, len(words))
+            k = min(SHORT_K if len(words) < SHORT else K, len(words))
             if k:
                 h = _runs(words, k)
-                found.setdefault(k, []).extend((int(h[p]), t, p) for p in winnow(h).tolist())
+                kept = winnow(h)
+                if len(words) < SHORT:  # all runs that hold a decisive word; all runs at all where there is none
+                    some = np.convolve(np.isin(words, self.decisive), np.ones(k, dtype=int), "valid")
+                    kept = np.flatnonzero(some > 0) if some.any() else np.arange(len(h))
+                found.setdefault(k, []).extend((int(h[p]), t, p) for p in kept.tolist())
         self.tables = {}
         for k, rows in found.items():
             rows.sort()
             self.tables[k] = tuple(np.array([r[i] for r in rows], dtype=np.uint64 if i == 0 else np.int64) for i in range(3))
 
+    def agrees(self, template: np.ndarray, part: np.ndarray) -> bool:
+        """Whether a part of a text has the decisive words of the template, in order; long templates are not held to that."""
+        return len(template) >= STRICT or template[np.isin(template, self.decisive)].tolist() == part[np.isin(part, self.decisive)].tolist()
+
 
 def band_of(size: int, band: int = BAND) -> int:
     """Short templates get a narrow band, so that neighbouring copies of a line stay apart."""
@@ -157,7 +206,7 @@ def matches(index: Index, words: np.ndarray, hits: list[tuple[int, int, int]], c
         at, place = (np.array(x) for x in zip(*pairs, strict=True))
         for start in regions(at, place, len(template)):
             n, first, last = align(template, words, start, band_of(len(template)))
-            if n >= coverage * len(template):
+            if n >= coverage * len(template) and index.agrees(template, words[first : last + 1]):
                 found.append((n, -t, first, last))
     out: list[tuple[int, int, int, int]] = []
     for n, t, first, last in sorted(found, key=lambda x: (-x[0], x[3] - x[2], x[2], -x[1])):
