@@ -210,9 +210,14 @@ def homes(nodes: DataFrame, similarity: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "id", "n"])
 
     keyed = nodes.select("id", "regs", "n").mapInArrow(spread, "key long, id long, n long")
-    # plain joins on the key: adaptive execution splits a bucket that holds too many rows
     shared = keyed.groupBy("key").agg(F.min("id").alias("home"), F.max("id").alias("last")).where("home < last").select("key", "home")
-    return keyed.join(shared, "key").select("home", "id", "n").distinct()
+    return _looked_up(keyed, shared, "key", "keys").select("home", "id", "n").distinct()
+
+
+def _looked_up(rows: DataFrame, table: DataFrame, key: str, name: str) -> DataFrame:
+    """rows joined with an aggregate of theirs by a key that may hold a third of them. The aggregate is written first: joined as a plan it would fix the
+    partitioning of the rows, and adaptive execution can split a hot key only where both sides are shuffled for the join alone."""
+    return rows.join(materialize(table, name), key)
 
 
 def _weight() -> object:
@@ -222,7 +227,7 @@ def _weight() -> object:
 def _sized(members: DataFrame) -> DataFrame:
     """members (home, id, n, ..) with c, the home's rows, and blocks, into how many it is dealt."""
     totals = members.groupBy("home").agg(F.count(F.lit(1)).alias("c"), F.sum(_weight()).alias("w"))
-    return members.join(totals.select("home", "c", F.ceil(F.col("w") / BLOCK).cast("int").alias("blocks")), "home")
+    return _looked_up(members, totals.select("home", "c", F.ceil(F.col("w") / BLOCK).cast("int").alias("blocks")), "home", "totals")
 
 
 def _dealt(sized: DataFrame) -> DataFrame:
@@ -302,14 +307,14 @@ def _pending(sized: DataFrame, labels: DataFrame) -> DataFrame:
     rows = sized.where("blocks > 1").select("home", "id", "n").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     per = rows.groupBy("home", "label").agg(F.count(F.lit(1)).alias("c"))
     main = per.groupBy("home").agg(F.count(F.lit(1)).alias("n_labels"), F.max(F.struct("c", "label")).alias("top")).where("n_labels > 1")
-    return rows.join(main.select("home", F.col("top.label").alias("main")), "home").select("home", "id", "n", "label", (F.col("label") != F.col("main")).alias("out"))
+    return _looked_up(rows, main.select("home", F.col("top.label").alias("main")), "home", "main").select("home", "id", "n", "label", (F.col("label") != F.col("main")).alias("out"))
 
 
 def _links_across(pending: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """(a, b) links between the members outside of a home's largest component and all its members, each block with each."""
     sized = _sized(pending).withColumn("j", F.pmod(F.xxhash64("home", "id"), F.col("blocks")).cast("int")).drop("c")
     blocks = pending.where("out").groupBy("home").agg(F.ceil(F.sum(_weight()) / BLOCK).cast("int").alias("p"))
-    rows = sized.join(blocks, "home").withColumn("i", F.pmod(F.xxhash64(F.lit("out"), "id"), F.col("p")).cast("int"))
+    rows = _looked_up(sized, blocks, "home", "outsiders").withColumn("i", F.pmod(F.xxhash64(F.lit("out"), "id"), F.col("p")).cast("int"))
     # a member goes to its block with each block of outsiders; an outsider also to its own with each block of members
     left = rows.where("out").select("home", "i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), "id", "label", "out", F.lit(True).alias("left"))
     right = rows.select("home", F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("i"), "j", "id", "label", "out", F.lit(False).alias("left"))
@@ -326,7 +331,7 @@ def _labels(docs: DataFrame, nodes: DataFrame, ties: DataFrame, k: int, similari
     """(id, label) of all ids that have a link; ties: further links (a, b)."""
     shared = materialize(homes(nodes, similarity), "homes")
     sets = materialize(_full_sets(docs, shared.select("id").distinct(), k), "sets")
-    sized = _sized(shared)
+    sized = materialize(_sized(shared), "sized")
     links = materialize(_links_within(_dealt(sized), sets, similarity).union(ties).distinct(), "links")
     labels = materialize(component_labels(links), "labels")
     pending = materialize(_pending(sized, labels), "pending")
@@ -334,7 +339,7 @@ def _labels(docs: DataFrame, nodes: DataFrame, ties: DataFrame, k: int, similari
         more = materialize(links.union(_links_across(pending, sets, similarity)).distinct(), "links")
         before, labels = labels, materialize(component_labels(more), "labels")
         discard(before, more)
-    discard(shared, sets, links, pending)
+    discard(shared, sized, sets, links, pending)
     return labels
 
 
