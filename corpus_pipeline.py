@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. `run` writes each
 stage's result to the shared folder and reads it again, so a lost executor never sets the work back by more than a stage.
+
+Defined results, for every stage: a null text counts as empty; a null doc_id is a value like any other in scores, lines and tiling, and is kept by
+near-deduplication; repeated rows share their fate (near-deduplication keeps all rows of the doc_id it keeps); columns of any name pass
+through; an empty table gives an empty table. Texts are processed whole, however long.
 """
 
 from __future__ import annotations
