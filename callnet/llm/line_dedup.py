@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from callnet.llm.common import ascii_lower, fresh, read_table, salt, salt_mask, salts_of
+from callnet.llm.common import ascii_lower, fresh, materialize, read_table, salt, salt_mask, salts_of
 
 BLANK = " \t\n\x0b\x0c\r"
 
@@ -42,6 +42,8 @@ def line_bitmaps(docs: DataFrame, min_docs: int = 10, keep: str = "none") -> Dat
     base = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
     base = base.withColumn("salt", salt(F.col("doc_id"), F.col("th")))
     rows = _hashed(base.select("doc_id", "th", "salt", F.posexplode(lines_of(F.col("text"))).alias("pos", "line")).select("doc_id", "th", "salt", "pos", line_key(F.col("line")).alias("key")).where("key <> ''"))
+    # narrow rows, written once: dealing them to ranges reads them twice, and the texts needn't be split each time
+    rows = materialize(rows, "lines")
     once = _hashed(base.select("doc_id", "th", "salt", F.explode(F.array_distinct(F.transform(lines_of(F.col("text")), line_key))).alias("key")).where("key <> ''"))
     counted = once.groupBy("h1", "h2").agg(
         F.count(F.lit(1)).alias("n_docs"),
