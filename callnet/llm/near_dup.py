@@ -372,4 +372,17 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(read_table(spark, sf_dir, "documents"), k=4, similarity=80)
 
 
-ORACLE = None
+# A set's rarest members, as many as it may lack and one more, meet those of each set that it can be linked with.
+ORACLE = r"""WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingled AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) END)) AS s FROM words),
+sets AS MATERIALIZED (SELECT doc_id, CAST(len(s) AS BIGINT) AS n, s, CASE WHEN len(s) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY s) END AS node FROM shingled),
+members AS MATERIALIZED (SELECT node, n, unnest(s) AS h FROM sets WHERE doc_id = node),
+places AS (SELECT node, n, h, row_number() OVER (PARTITION BY node ORDER BY f, h) AS place FROM members JOIN (SELECT h, count(*) AS f FROM members GROUP BY h) USING (h)),
+rare AS MATERIALIZED (SELECT node, n, h FROM places WHERE place <= n - (80 * n + 99) // 100 + 1),
+candidates AS (SELECT DISTINCT a.node AS a, b.node AS b FROM rare a JOIN rare b ON a.h = b.h AND a.node <> b.node AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n),
+shared AS (SELECT a, b, x.n + y.n AS total, len(list_intersect(x.s, y.s)) AS common FROM candidates JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b),
+links AS MATERIALIZED (SELECT a, b FROM shared WHERE 100 * common >= 80 * (total - common)),
+reach(a, b) AS (SELECT DISTINCT node, node FROM sets UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+least AS (SELECT a AS node, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN least USING (node)"""

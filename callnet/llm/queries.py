@@ -17,5 +17,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_line_dedup": line_dedup.ORACLE,
+    "op5_hyperminhash_near_dup": near_dup.ORACLE,
+    "op6_warc_bundles": warc.ORACLE,
     "op10_trigram_secret_scan": secret_scan.ORACLE,
 }

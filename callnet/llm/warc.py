@@ -250,4 +250,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_bundles(bundles.repartition(n), path)
 
 
-ORACLE = None
+# A base32 digit of the digest is five bits out of two neighbouring hexadecimal digits.
+ORACLE = """WITH payloads AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+hashed AS (SELECT page_id, octet_length(payload) AS size, sha1(payload) AS sha, max(page_id) OVER (PARTITION BY payload) AS response FROM payloads)
+SELECT page_id, CAST(size AS BIGINT) AS payload_bytes, array_to_string(list_transform(range(32), lambda j:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((CAST('0x' || substr(sha, 5 * j // 4 + 1, 2) AS BIGINT) >> CAST(3 - j % 4 AS INTEGER)) & 31) + 1, 1)), '') AS payload_digest,
+    CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> response THEN response END AS refers_to FROM hashed"""
