@@ -4,10 +4,11 @@ import random
 from collections import deque
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from callnet.operators.graph import centrality, clustering, community, core, kcore, paths, powerlaw, random_graph, robustness
+from callnet.operators.graph import centrality, clustering, community, core, kcore, packed, paths, powerlaw, random_graph, robustness
 
 
 def graph(spark, pairs, self_loops="keep"):
@@ -109,6 +110,29 @@ def test_paths_and_betweenness_against_brute_force(spark):
     assert got == pytest.approx(want)
 
 
+def test_searches_in_tasks_and_by_joins_agree(spark, monkeypatch):
+    """Both ways, from all and from some sources, in stretches of a few arcs, with an isolated pair and a loop."""
+    pairs = [*random_pairs(60, 120, 6), ("x", "y"), (3, 3), *[(70, i) for i in range(40)]]
+    g = graph(spark, pairs).materialized()
+    monkeypatch.setattr(packed, "STRETCH", 16)
+    lists = packed.Lists(3, [[np.array(x, np.int32).tobytes() for x in ([0, 1, 2], [1, 2, 1], [1, 0, 2, 1])]])
+    assert packed.distances(lists, np.array([0, 1, 2])) == (8, 6) and packed.dependencies(lists, np.array([0, 1, 2])).tolist() == [0.0, 2.0, 0.0]
+    for k in (None, 7, 500):
+        assert paths.mean_path_length(g, k).first() == paths.mean_path_by_joins(g, k).first()
+        want = values(paths.dependencies_by_joins(g, k))
+        got = values(packed.dependency_sums(packed.packed(g), paths.sample_nodes(g, k), k))
+        assert {v: x for v, x in got.items() if x > 1e-9} == pytest.approx({v: x for v, x in want.items() if x > 1e-9})
+    assert values(paths.betweenness(graph(spark, [(1, 1)]))) == {"1": 0.0}
+
+
+def test_500_sources_on_a_large_graph_need_no_row_per_source_and_node(spark, monkeypatch):
+    """By joins, 500 sources on 3000 nodes wrote tables of 1.5 million rows in all."""
+    monkeypatch.setattr(paths, "levels", None)
+    g = graph(spark, random_pairs(3000, 9000, 8)).materialized()
+    assert paths.mean_path_length(g).first().pairs > 500 * 2000
+    assert paths.betweenness(g).where("betweenness > 0").count() > 2000
+
+
 def test_eigenvector_of_a_star(spark):
     got = values(centrality.eigenvector(graph(spark, [(0, i) for i in range(1, 5)])))
     assert got["0"] == pytest.approx(2**-0.5, abs=1e-4) and got["1"] == pytest.approx(8**-0.5, abs=1e-4)
