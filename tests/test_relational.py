@@ -124,6 +124,30 @@ def test_points_of_wkb_and_nearest_antenna(spark):
     assert {r.antenna_id for r in spatial.nearest_antenna(points, ants.limit(0)).collect()} == {None}
 
 
+def test_nearest_antenna_meets_few_candidates_and_agrees_with_brute_force(spark, monkeypatch):
+    """Even, clustered and repeated places, ties, and odd coordinates; before, every point met every antenna."""
+    import math
+    import random
+
+    rng = random.Random(11)
+    spot = lambda: rng.choice([(rng.uniform(0, 100), rng.uniform(0, 100)), (50 + rng.gauss(0, 0.01), 50 + rng.gauss(0, 0.01)), (rng.randrange(10) * 1.0, rng.randrange(10) * 1.0)])
+    ants = [(i, *spot()) for i in range(400)] + [(400, None, 1.0), (-1, math.nan, 2.0), (-2, math.inf, 0.0)]
+    points = [(i, *spot()) for i in range(600)] + [(600, 4e5, -3.0), (601, None, 1.0), (602, 50.0, 4e5)]
+
+    def want(x, y):
+        def d(a):
+            v = math.nan if None in (x, y, *a[1:]) else (a[1] - x) * (a[1] - x) + (a[2] - y) * (a[2] - y)
+            return (math.isnan(v), 0.0 if math.isnan(v) else v, a[0])
+
+        return min(ants, key=d)[0]
+
+    met = []
+    monkeypatch.setattr(spatial, "_in_blocks", lambda places, *a, f=spatial._in_blocks: met.append(places.count()) or f(places, *a))
+    got = spatial.nearest_antenna(spark.createDataFrame(points, "id long, x double, y double"), spark.createDataFrame(ants, "antenna_id long, x double, y double"))
+    assert {r.id: r.antenna_id for r in got.collect()} == {i: want(x, y) for i, x, y in points}
+    assert met == [1]
+
+
 def test_quantiles_against_sorted_lists(spark):
     import random
     from statistics import quantiles as cut
