@@ -188,6 +188,38 @@ def test_two_cliques_are_two_communities(spark):
     assert {(r.community_size, r.community_rank) for r in table} == {(6, 1), (6, 2)}
 
 
+def test_louvain_moves_need_no_join_and_score_like_those_by_joins(spark, monkeypatch):
+    """30 groups of 12 with few ties between them and a loop; before, every sweep was a plan of joins."""
+    rng = random.Random(9)
+    pairs = [(f"{b:02d}{i:02d}", f"{b:02d}{j:02d}") for b in range(30) for i, j in combinations(range(12), 2) if rng.random() < 0.7]
+    pairs += [(f"{b:02d}00", f"{(b + 1) % 30:02d}05") for b in range(30)] + [("0003", "0003")]
+    g = graph(spark, pairs).materialized()
+    want = community.modularity(g, community.louvain_by_joins(g)).first()[0]
+    monkeypatch.setattr(community, "_sweep", None)
+    found = community.louvain(g)
+    assert community.modularity(g, found).first()[0] >= want - 0.002
+    assert found.count() == g.vertices.count() and values(found) == values(community.louvain(g))
+    assert all(len(set(v for n, v in values(found).items() if n[:2] == f"{b:02d}")) == 1 for b in range(30))
+    nothing = community.louvain(core.Graph(g.vertices.limit(3).localCheckpoint(), g.edges.limit(0)))
+    assert sorted(values(nothing).values()) == [0, 1, 2]
+
+
+def test_one_sweep_against_its_definition():
+    """Gains of every neighbouring community, one by one."""
+    rng = np.random.default_rng(3)
+    w = np.triu(rng.integers(0, 4, (12, 12)), 1).astype(float)
+    w += w.T
+    k, labels = w.sum(axis=0), rng.integers(0, 5, 12).astype(np.int32)
+    m, totals = w.sum() / 2, np.bincount(labels, k, minlength=12)
+    own, to = np.nonzero(w)
+    moved, where = community._best(np.arange(12), own, to, w[own, to], labels, totals, k, m)
+    got = dict(zip(moved.tolist(), where.tolist(), strict=True))
+    for v in range(12):
+        gain = {c: w[v][labels == c].sum() - k[v] * (totals[c] - k[v] * (c == labels[v])) / (2 * m) for c in {labels[v], *labels[w[v] > 0]}}
+        best = max(gain, key=lambda c: (gain[c], c))
+        assert got.get(v) == (best if gain[best] > gain[labels[v]] + 1e-12 else None)
+
+
 def test_random_graph_has_exactly_its_edges(spark):
     g = random_graph.gnm(spark, 40, 100)
     rows = g.edges.collect()
