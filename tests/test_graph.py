@@ -227,6 +227,17 @@ def test_random_graph_has_exactly_its_edges(spark):
     assert random_graph.gnm(spark, 5, 99).edges.count() == 10
 
 
+def test_small_world_releases_the_disk_of_each_part(spark, monkeypatch):
+    """Every part ends before the next begins, written tables are not written again; before, one plan held the shuffle files of all four."""
+    g = graph(spark, [(i, (i + s) % 60) for i in range(60) for s in (1, 2)]).materialized()
+    assert g.materialized().edges is g.edges
+    calls = []
+    monkeypatch.setattr(random_graph, "release", lambda s: calls.append(s))
+    row = random_graph.small_world(g).first()
+    assert len(calls) == 5 and row.c == pytest.approx(0.5) and row.l == pytest.approx(sum(-(-d // 2) for d in [min(j, 60 - j) for j in range(1, 60)]) / 59)
+    assert row.sigma == pytest.approx(row.c / row.c_random / (row.l / row.l_random))
+
+
 def test_robustness_against_brute_force(spark):
     pairs = random_pairs(20, 30, 5)
     g = core.giant(graph(spark, pairs)).materialized()
