@@ -584,6 +584,44 @@ def test_thresholds_by_language_and_long_training_texts(spark, documents):
     assert kept.columns == docs.columns and kept.where("text = 'fine word'").count() == 29 and kept.where("text = 'bad word'").count() == 0
 
 
+def test_toxicity_learns_from_every_labelled_document(spark, documents):
+    """Each of 40 insults stands in few documents, in shares of 60, one of them in a text of over 300 kB; before, documents beyond a count or a size were passed over."""
+    rng = random.Random(14)
+    insults = ["zq" + "".join(rng.choice("bcdfghkl") + rng.choice("aeiou") for _ in range(3)) for _ in range(40)]
+    texts, marks = [], []
+    for i in range(1200):
+        t = prose(rng, 40).split()
+        if i % 4 == 0:
+            t[rng.randrange(40)] = insults[i // 4 % 40]
+        texts.append(" ".join(t))
+        marks.append(int(i % 4 == 0))
+    texts += ["gentle words " * 25_000 + insults[0]]
+    docs, labels = documents(texts), spark.createDataFrame([(i, m) for i, m in enumerate([*marks, 1])], "doc_id long, toxic int")
+    counted = []
+    odds = toxicity._log_odds_of
+    toxicity._log_odds_of = lambda rows: counted.append((rows.count(), rows.select("share").distinct().count())) or odds(rows)
+    try:
+        model = toxicity.fit(docs, labels, max_train=300)
+    finally:
+        toxicity._log_odds_of = odds
+    again = toxicity.fit(docs.repartition(7), labels, max_train=300)
+    assert all((a == b).all() for a, b in zip(model.parameters(), again.parameters(), strict=True)) and model.offset == again.offset
+    usable = docs.where(~toxicity.held_out(F.col("doc_id"))).count()
+    assert 0.7 * usable < counted[0][0] < 0.9 * usable and counted[0][1] >= 3
+    got = {r.doc_id: r.toxicity_score for r in toxicity.score(docs, model).collect()}
+    held = [r.doc_id for r in docs.where(toxicity.held_out(F.col("doc_id"))).collect() if r.doc_id < 1200]
+    assert np.mean([(got[i] >= 0.3) == bool(marks[i]) for i in held]) > 0.95
+
+
+def test_thresholds_of_groups_against_sorted_scores(spark):
+    rng = np.random.default_rng(2)
+    rows = [(g, float(s), int(rng.random() < s)) for g in ("de", "en", "") for s in rng.integers(1, 60, 80) / 60]
+    counts = spark.createDataFrame(rows, "g string, s double, y int").groupBy("g", "s").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("hits"))
+    for g, (cut, total, toxic) in toxicity._best_of_groups(counts).items():
+        s, y = (np.array([r[i] for r in rows if r[0] == g], dtype=float) for i in (1, 2))
+        assert (total, toxic) == (80, y.sum()) and cut == pytest.approx(toxicity._best_threshold(s, y))
+
+
 def test_toxicity_without_both_classes(spark, documents):
     docs = documents(["a b", "c"], **CLASH)
     none = spark.createDataFrame([], "doc_id long, toxic int")
