@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callnet.llm.common import discard, fresh, materialize, read_table
+from callnet.llm.common import discard, fresh, give_back, materialize, read_table
 from callnet.operators.graph.components import component_labels
 
 REGISTERS = 256
@@ -189,6 +189,7 @@ def signatures(docs: DataFrame, k: int, similarity: int) -> DataFrame:
                     [batch.column(0).slice(block.first, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array([r.tobytes() for r in regs], pa.binary())],
                     names=["doc_id", "n_shingles", "node", "regs"],
                 )
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, n_shingles long, node binary, regs binary")
 
@@ -208,6 +209,7 @@ def homes(nodes: DataFrame, similarity: int) -> DataFrame:
                 row, band = np.nonzero(keys)
                 columns = [pa.array(keys[row, band].view(np.int64)), pa.array(batch.column(0).to_numpy()[row]), pa.array(n[row])]
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "id", "n"])
+        give_back()
 
     keyed = nodes.select("id", "regs", "n").mapInArrow(spread, "key long, id long, n long")
     shared = keyed.groupBy("key").agg(F.min("id").alias("home"), F.max("id").alias("last")).where("home < last").select("key", "home")
@@ -247,6 +249,7 @@ def _full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
             for block in word_blocks(batch.column(1)):
                 sets = [s.astype("<u8").tobytes() for s in shingle_sets(block, k)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, len(sets)), pa.array(sets, pa.binary())], names=["id", "members"])
+        give_back()
 
     # a shuffle of the texts whatever the size of ids, which grow with the documents
     wanted = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids.hint("merge"), "id", "left_semi")

@@ -584,6 +584,30 @@ def test_thresholds_by_language_and_long_training_texts(spark, documents):
     assert kept.columns == docs.columns and kept.where("text = 'fine word'").count() == 29 and kept.where("text = 'bad word'").count() == 0
 
 
+def test_training_state_does_not_pass_the_driver(spark, documents, monkeypatch):
+    """The driver sent 7 MB of state an epoch and ranked the scores once for all rows and once more for languages; both kinds of thresholds must be those of brute force."""
+    rng, sent, ranks = random.Random(31), [], []
+    marks = [int(rng.random() < 0.4) for _ in range(200)]
+    docs = documents([prose(rng, 12) + (" vile" if m and rng.random() < 0.8 else "") for m in marks]).withColumn("lang", F.when(F.col("doc_id") % 3 == 0, "de").otherwise(F.lit("en")))
+    labels = spark.createDataFrame(list(enumerate(marks)), "doc_id long, toxic int")
+    context, plain = type(spark.sparkContext), type(spark.sparkContext).broadcast
+    monkeypatch.setattr(context, "broadcast", lambda self, value: sent.append(len(value)) or plain(self, value))
+    keep = toxicity.ranked
+    monkeypatch.setattr(toxicity, "ranked", lambda *a, **b: ranks.append(1) or keep(*a, **b))
+    toxicity.fit(docs, labels, max_train=60)
+    assert max(sent) < 3 << 20 and len(ranks) == 1
+    rows = [(g, round(rng.random(), 1), rng.randrange(1, 4)) for g in (None, "de", "en") for _ in range(12)]
+    rows = [(g, s, n, rng.randrange(n + 1)) for (g, s), n in {(g, s): n for g, s, n in rows}.items()]
+    got = toxicity._best_of_groups(spark.createDataFrame(rows, "g string, s double, n long, hits long"))
+    for g in (None, "de", "en"):
+        own = [(s, n, h) for a, s, n, h in rows if a == g]
+        y = np.array([x for s, n, h in own for x in [1.0] * h + [0.0] * (n - h)])
+        score = np.array([s for s, n, h in own for _ in range(n)])
+        f1 = {c: 2 * y[score >= c].sum() / ((score >= c).sum() + y.sum()) for c in set(score)}
+        best = max(c for c in f1 if f1[c] == max(f1.values()))
+        assert got[g] == (pytest.approx((best + max([c for c in f1 if c < best], default=0.0)) / 2), len(y), int(y.sum()))
+
+
 def test_toxicity_learns_from_every_labelled_document(spark, documents):
     """Each of 40 insults stands in few documents, in shares of 60, one of them in a text of over 300 kB; before, documents beyond a count or a size were passed over."""
     rng = random.Random(14)
